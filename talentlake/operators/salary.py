@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import to_double
 from ..functions.salary import bound_max, bound_min, row_mean, salary_estimate
 from .aggregate import exact_median, global_median
+from ..session import materialize
 from .joins import attach_small
 
 
@@ -39,7 +40,9 @@ def impute_salaries(df: DataFrame, keys: Sequence[str] = ("secteur", "contrat_ty
                     value: str = "salaire_annuel_estime", **median_kw) -> DataFrame:
     """C-08: estimate, then fill the gaps with the group median, else the global median."""
     keys = list(keys)
-    est = estimate_salaries(df)
+    # Several passes read the estimates (group stats, medians, global median, the
+    # fill itself): write them once instead of recomputing the upstream plan.
+    est = materialize(estimate_salaries(df), "salary-estimates")
     medians = exact_median(est, keys, value, alias="_group_median", **median_kw).checkpoint()
     n_groups = medians.count()
     overall = global_median(est, value, **median_kw)

@@ -308,3 +308,237 @@ TRANSFORMED_COLS = ["hash_id", "titre", "titre_normalise", "competences_extraite
     f"SELECT {', '.join(TRANSFORMED_COLS)} FROM transformed", TRANSFORMED_CTES))
 def q_transform_stage(spark, sf_dir):
     return transformed_df(spark, sf_dir).select(*TRANSFORMED_COLS)
+
+
+# ---------------------------------------------------------------------------
+# Dashboard and reports (A-*, C-22, J-06, F-11, F-12)
+# ---------------------------------------------------------------------------
+
+from ..operators import bi as B  # noqa: E402
+
+_FLAGS_SQL = ", ".join(
+    f"list_has_any(competences, {O._list(skills)}) AS {flag}" for flag, skills in V.SKILL_FLAGS.items())
+DASHBOARD_CTES = TRANSFORMED_CTES + f""",
+dashboard AS (
+  SELECT *, strftime(date_publication, '%Y-%m') AS annee_mois, region AS localisation, lieu AS ville,
+         contrat_type AS type_contrat, {_FLAGS_SQL}
+  FROM (SELECT *, coalesce(TRY_CAST(date_creation AS DATE), date_scraping) AS date_publication FROM transformed)
+)"""
+
+
+def D(body: str) -> str:
+    return O.with_postings(body, DASHBOARD_CTES)
+
+
+def view_df(spark, sf_dir) -> DataFrame:
+    return B.dashboard_view(transformed_df(spark, sf_dir))
+
+
+def _pct_sql(num: str, den: str = "count(*)") -> str:
+    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) * 100 / {den} END)"
+
+
+ENCODER_NAME = "hashed-token-tfidf"
+_LABEL_SQL = "coalesce(CASE lower({x}) " + " ".join(
+    f"WHEN {O.sql_str(k)} THEN {O.sql_str(v)}" for k, v in V.SOURCE_LABELS.items()) + " END, {y})"
+
+
+def _label_sql(col: str) -> str:
+    from ..functions.regex import py_strip_sql
+    return _LABEL_SQL.format(x=py_strip_sql(col), y=col)
+
+
+VIEW_COLS = ["hash_id", "date_publication", "annee_mois", "localisation", "ville", "type_contrat",
+             "has_python", "has_sql", "has_spark", "has_ml", "has_cloud", "has_devops"]
+
+
+@register("dashboard_view", D(f"SELECT {', '.join(VIEW_COLS)} FROM dashboard"))
+def q_dashboard_view(spark, sf_dir):
+    return view_df(spark, sf_dir).select(*VIEW_COLS)
+
+
+@register("total_count", D("SELECT count(*) AS total_offres FROM dashboard"))
+def q_total_count(spark, sf_dir):
+    return B.total_count(view_df(spark, sf_dir))
+
+
+@register("source_stats", D(
+    "SELECT source, count(*) AS total_offres FROM dashboard WHERE source IS NOT NULL GROUP BY source"))
+def q_source_stats(spark, sf_dir):
+    return B.stats_sources(view_df(spark, sf_dir))
+
+
+@register("source_labels", D(
+    f"SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {_label_sql('source')} AS label, count(*) AS n "
+    "FROM dashboard WHERE source IS NOT NULL GROUP BY source) GROUP BY label"))
+def q_source_labels(spark, sf_dir):
+    return B.count_by_label(view_df(spark, sf_dir))
+
+
+@register("stats_report", D(
+    "SELECT (SELECT count(*) FROM transformed) AS total, "
+    "(SELECT '{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}' FROM ("
+    f"  SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {_label_sql('source')} AS label, count(*) AS n "
+    "   FROM transformed WHERE source IS NOT NULL GROUP BY source) GROUP BY label)) AS sources, "
+    "(SELECT coalesce(substr(coalesce(CAST(max(date_scraping) AS VARCHAR), max(date_creation)), 1, 10), 'N/A') "
+    f" FROM transformed) AS last_update, '{ENCODER_NAME}' AS model"))
+def q_stats_report(spark, sf_dir):
+    return B.stats_report(transformed_df(spark, sf_dir), ENCODER_NAME)
+
+
+@register("last_update", D(
+    "SELECT coalesce(substr(coalesce(CAST(max(date_scraping) AS VARCHAR), max(date_creation)), 1, 10), 'N/A') "
+    "AS last_update FROM transformed"))
+def q_last_update(spark, sf_dir):
+    df = transformed_df(spark, sf_dir)
+    return df.agg(B.last_update(df).alias("last_update"))
+
+
+@register("profile_stats", D(
+    "SELECT count(*) AS n_offres, count(DISTINCT titre_normalise) AS n_titres_normalises, "
+    "count_if(competences_extraites <> '') AS n_avec_competences, count(salaire_annuel_estime) AS n_avec_salaire, "
+    "count(DISTINCT region) AS n_regions FROM transformed"))
+def q_profile_stats(spark, sf_dir):
+    return B.profile_stats(transformed_df(spark, sf_dir))
+
+
+@register("contract_histogram", D(
+    "SELECT contrat_type, count(*) AS n FROM transformed WHERE contrat_type IS NOT NULL GROUP BY contrat_type"))
+def q_contract_histogram(spark, sf_dir):
+    return B.contract_histogram(transformed_df(spark, sf_dir))
+
+
+@register("skill_top", D(
+    "SELECT competence, count(*) AS nb_offres FROM (SELECT unnest(competences) AS competence FROM dashboard) "
+    "GROUP BY competence"))
+def q_skill_top(spark, sf_dir):
+    return B.skill_frequency(view_df(spark, sf_dir))
+
+
+_BARS_SQL = " UNION ALL ".join(
+    f"SELECT '{label}' AS skill, {_pct_sql(f'count_if({flag})')} AS pct FROM dashboard"
+    for flag, label in V.SKILL_SHARE_BARS.items())
+
+
+@register("skill_shares", D(_BARS_SQL))
+def q_skill_shares(spark, sf_dir):
+    return B.skill_shares(view_df(spark, sf_dir))
+
+
+@register("skill_share_python", D(f"SELECT {_pct_sql('count_if(has_python)')} AS pct FROM dashboard"))
+def q_skill_share_python(spark, sf_dir):
+    return B.skill_share(view_df(spark, sf_dir), "has_python")
+
+
+@register("skill_share_cloud", D(f"SELECT {_pct_sql('count_if(has_cloud)')} AS pct FROM dashboard"))
+def q_skill_share_cloud(spark, sf_dir):
+    return B.skill_share(view_df(spark, sf_dir), "has_cloud")
+
+
+_MATRIX_SQL = ", ".join(f"{_pct_sql(f'count_if({flag})')} AS {label}" for flag, label in V.SKILL_SHARE_BARS.items())
+
+
+@register("skill_matrix", D(f"SELECT source, {_MATRIX_SQL} FROM dashboard WHERE source IS NOT NULL GROUP BY source"))
+def q_skill_matrix(spark, sf_dir):
+    return B.source_skill_matrix(view_df(spark, sf_dir))
+
+
+@register("python_gauge", D(
+    f"SELECT pct_python, 60.0 AS target, pct_python - 60.0 AS delta, pct_python >= 60.0 AS met FROM ("
+    f"SELECT {_pct_sql('count_if(has_python)')} AS pct_python FROM dashboard)"))
+def q_python_gauge(spark, sf_dir):
+    return B.python_gauge(view_df(spark, sf_dir))
+
+
+@register("monthly_trend", D(
+    "SELECT annee_mois, count(*) AS n FROM dashboard WHERE annee_mois IS NOT NULL GROUP BY annee_mois"))
+def q_monthly_trend(spark, sf_dir):
+    return B.monthly_trend(view_df(spark, sf_dir))
+
+
+@register("location_counts", D("SELECT localisation, ville, count(*) AS n FROM dashboard GROUP BY ALL"))
+def q_location_counts(spark, sf_dir):
+    return B.location_counts(view_df(spark, sf_dir))
+
+
+@register("contract_split", D(
+    "SELECT type_contrat, n, n * 100.0 / sum(n) OVER () AS share FROM ("
+    "SELECT type_contrat, count(*) AS n FROM dashboard WHERE type_contrat IS NOT NULL GROUP BY type_contrat)"))
+def q_contract_split(spark, sf_dir):
+    return B.contract_split(view_df(spark, sf_dir))
+
+
+@register("top_cities", D(
+    "SELECT ville, count(*) AS n, " + _pct_sql("count_if(type_contrat = 'CDI')") + " AS pct_cdi FROM dashboard "
+    f"WHERE ville IS NOT NULL GROUP BY ville ORDER BY n DESC, ville LIMIT {V.TOP_CITIES}"))
+def q_top_cities(spark, sf_dir):
+    return B.top_cities(view_df(spark, sf_dir))
+
+
+@register("cdi_cdd_by_source", D(
+    "SELECT source, count_if(type_contrat = 'CDI') AS CDI, count_if(type_contrat = 'CDD') AS CDD FROM dashboard "
+    "WHERE source IS NOT NULL GROUP BY source"))
+def q_cdi_cdd_by_source(spark, sf_dir):
+    return B.contracts_by_source(view_df(spark, sf_dir))
+
+
+@register("source_summary", D(
+    "SELECT string_agg(source || ' : ' || CAST(total_offres AS VARCHAR), chr(10) ORDER BY total_offres DESC, source) "
+    "AS resume_sources FROM (SELECT source, count(*) AS total_offres FROM dashboard WHERE source IS NOT NULL "
+    "GROUP BY source)"))
+def q_source_summary(spark, sf_dir):
+    return B.source_summary(view_df(spark, sf_dir))
+
+
+@register("mtd", D(
+    "SELECT count(*) AS offres_ce_mois FROM dashboard, (SELECT max(date_publication) AS m FROM dashboard) "
+    "WHERE date_publication BETWEEN CAST(date_trunc('month', m) AS DATE) AND m"))
+def q_mtd(spark, sf_dir):
+    return B.month_to_date(view_df(spark, sf_dir))
+
+
+@register("mom_growth", D(
+    "SELECT mois, n, prev, CASE WHEN prev = 0 OR prev IS NULL THEN NULL ELSE (n - prev) * 100.0 / prev END "
+    "AS croissance_mom FROM (SELECT mois, n, lag(n) OVER (ORDER BY mois) AS prev FROM ("
+    " SELECT s.mois, coalesce(c.n, 0) AS n FROM ("
+    "  SELECT CAST(unnest(generate_series(CAST(date_trunc('month', min(date_publication)) AS DATE), "
+    "    CAST(date_trunc('month', max(date_publication)) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS mois FROM dashboard) s"
+    " LEFT JOIN (SELECT CAST(date_trunc('month', date_publication) AS DATE) AS mois, count(*) AS n FROM dashboard "
+    "  GROUP BY 1) c USING (mois)))"))
+def q_mom_growth(spark, sf_dir):
+    return B.month_over_month(view_df(spark, sf_dir))
+
+
+_CAL_SQL = (
+    "SELECT d AS date, year(d) AS annee, month(d) AS mois, strftime(d, '%B %Y') AS nom_mois, "
+    "'T' || CAST(quarter(d) AS VARCHAR) AS trimestre, "
+    "CAST(ceil((dayofyear(d) + dayofweek(CAST(date_trunc('year', d) AS DATE))) / 7) AS INTEGER) AS semaine "
+    "FROM (SELECT CAST(unnest(generate_series(min(date_publication), max(date_publication), INTERVAL 1 DAY)) "
+    "AS DATE) AS d FROM dashboard)")
+
+
+@register("calendar", D(_CAL_SQL))
+def q_calendar(spark, sf_dir):
+    return B.calendar(view_df(spark, sf_dir))
+
+
+@register("calendar_join", D(
+    f"SELECT v.hash_id, v.date_publication, c.annee, c.trimestre, c.semaine FROM dashboard v "
+    f"LEFT JOIN ({_CAL_SQL}) c ON v.date_publication = c.date"))
+def q_calendar_join(spark, sf_dir):
+    view = view_df(spark, sf_dir)
+    return B.with_calendar(view, B.calendar(view)).select("hash_id", "date_publication", "annee", "trimestre",
+                                                          "semaine")
+
+
+SLICER = dict(sources=["france_travail", "themuse", "kaggle_linkedin"], contracts=["CDI", "Stage"],
+              location="île", date_from="1994-01-01", date_to="1997-12-31")
+
+
+@register("slicer_detail", D(
+    "SELECT titre, entreprise, ville, contrat_type AS contrat, source, date_publication AS date FROM dashboard "
+    "WHERE source IN ('france_travail', 'themuse', 'kaggle_linkedin') AND type_contrat IN ('CDI', 'Stage') "
+    "AND contains(lower(localisation), 'île') AND date_publication >= DATE '1994-01-01' "
+    "AND date_publication <= DATE '1997-12-31'"))
+def q_slicer_detail(spark, sf_dir):
+    return B.detail_table(B.apply_slicers(view_df(spark, sf_dir), **SLICER))
