@@ -542,3 +542,222 @@ SLICER = dict(sources=["france_travail", "themuse", "kaggle_linkedin"], contract
     "AND date_publication <= DATE '1997-12-31'"))
 def q_slicer_detail(spark, sf_dir):
     return B.detail_table(B.apply_slicers(view_df(spark, sf_dir), **SLICER))
+
+
+# ---------------------------------------------------------------------------
+# Similarity (M-*, J-07, O-01, F-08..F-10, C-21, S-17, S-18)
+# ---------------------------------------------------------------------------
+
+from ..operators import similarity as M  # noqa: E402
+
+TOP_K = 10
+
+
+def label_centroids(emb: DataFrame) -> DataFrame:
+    """Mean vector of each label: a bounded query batch (one per label) derived from the corpus."""
+    per_dim = (emb.select("label", F.posexplode("embedding").alias("pos", "v"))
+               .groupBy("label", "pos").agg(F.avg("v").alias("v")))
+    return (per_dim.groupBy("label")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_pv"))
+            .select(F.col("label").alias("query_id"), F.transform("_pv", lambda x: x["v"]).alias("embedding")))
+
+
+_CENTROID_SQL = """
+e AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM embeddings),
+c AS (SELECT label AS query_id, list(v ORDER BY pos) AS cen FROM (
+        SELECT label, pos, avg(v) AS v FROM e GROUP BY label, pos) GROUP BY label),
+s AS (SELECT c.query_id, m.vec_id,
+        CASE WHEN list_dot_product(c.cen, c.cen) = 0 OR list_dot_product(m.embedding::DOUBLE[], m.embedding::DOUBLE[]) = 0
+             THEN 0.0 ELSE list_cosine_similarity(c.cen, m.embedding::DOUBLE[]) END AS score
+      FROM c, embeddings m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+@register("cosine_topk", f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {TOP_K}")
+def q_cosine_topk(spark, sf_dir):
+    emb = TD.table(spark, sf_dir, "embeddings")
+    return M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+MIN_SCORE = 0.35
+
+
+@register("recommend_min_score",
+          f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {TOP_K} "
+          f"AND score >= {MIN_SCORE}")
+def q_recommend_min_score(spark, sf_dir):
+    emb = TD.table(spark, sf_dir, "embeddings")
+    hits = M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id")
+    return hits.where(F.col("score") >= MIN_SCORE).select("query_id", "vec_id", "score", "rank")
+
+
+@register("text_recommend", None)
+def q_text_recommend(spark, sf_dir):
+    """Benchmark passages as free-text queries against the document corpus (hashed-token encoder)."""
+    docs = TD.table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"), "lang", "source")
+    queries = TD.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return M.recommend(queries, docs, key_col="doc_id", top_k=5, project=["doc_id", "lang", "source"])
+
+
+@register("cv_match", None)
+def q_cv_match(spark, sf_dir):
+    """User turns as CV texts (under 20 characters rejected), top 3 documents each, score >= 0.05."""
+    docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    turns = (TD.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
+    return M.recommend_from_text(turns, docs, key_col="doc_id", top_k=3, min_score=0.05,
+                                 project=["doc_id", "lang"])
+
+
+@register("embedding_text", O.with_postings(
+    "SELECT ingest_seq, coalesce(titre, '') || ' ' || coalesce(description, '') || ' ' || coalesce(tags, '') "
+    "|| ' ' || '' || ' ' || coalesce(secteur, '') AS text FROM postings"))
+def q_embedding_text(spark, sf_dir):
+    p = P(spark, sf_dir).withColumn("categorie", F.lit(None).cast("string"))
+    return M.posting_text(p).select("ingest_seq", "text")
+
+
+# ---------------------------------------------------------------------------
+# Sink, stream, joins, connectors (S-*, J-01, J-05, ST-01)
+# ---------------------------------------------------------------------------
+
+from ..session import shared_path  # noqa: E402
+from ..sources import keyed_table as K  # noqa: E402
+from ..streaming import ingest as ST  # noqa: E402
+import uuid  # noqa: E402
+
+_B1 = "o_orderdate < TIMESTAMP '1996-01-01'"
+_B2 = "o_orderdate >= TIMESTAMP '1995-01-01'"
+
+
+@register("insert_ignore",
+          f"WITH b1 AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE {_B1}), "
+          f"b2 AS (SELECT o_custkey, o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE {_B2}), "
+          "t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM b1) "
+          "WHERE rn = 1), "
+          "t2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM b2) "
+          "WHERE rn = 1 AND o_custkey NOT IN (SELECT o_custkey FROM t1)) "
+          "SELECT o_custkey, o_orderkey, o_totalprice FROM t1 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM t2")
+def q_insert_ignore(spark, sf_dir):
+    """Two overlapping order batches into a table keyed by customer: the first batch's row wins."""
+    o = TD.table(spark, sf_dir, "orders")
+    path = shared_path(spark, f"keyed-orders-{uuid.uuid4().hex}")
+    b1 = o.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    b2 = o.where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) \
+        .withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    cols = ["o_custkey", "o_orderkey", "o_totalprice"]
+    K.insert_ignore(b1.select(*cols), path, key="o_custkey", order_by=["o_orderkey"], typed=False)
+    K.insert_ignore(b2.select(*cols), path, key="o_custkey", order_by=["o_orderkey"], typed=False)
+    return spark.read.parquet(path)
+
+
+@register("stream_ingest",
+          "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY user_id, event_type ORDER BY event_id) rn FROM events) WHERE rn = 1")
+def q_stream_ingest(spark, sf_dir):
+    """Events landing folder streamed (availableNow) into a table keyed by (user, event type)."""
+    schema = TD.table(spark, sf_dir, "events").schema
+    table = shared_path(spark, f"stream-events-{uuid.uuid4().hex}")
+    out = ST.ingest_available(spark, sf_dir, table, schema, key=["user_id", "event_type"],
+                              order_by=["event_id"], path_glob="events.parquet")
+    return out.select("user_id", "event_type", "event_id", "value")
+
+
+@register("linkedin_join",
+          "SELECT o.o_orderkey, l.l_linenumber FROM orders o LEFT JOIN lineitem l "
+          "ON o.o_orderkey IS NOT DISTINCT FROM l.l_orderkey")
+def q_linkedin_join(spark, sf_dir):
+    """J-01: postings LEFT JOIN skills on the link, null-safe, fan-out allowed (orders x lineitem)."""
+    o = TD.table(spark, sf_dir, "orders").select("o_orderkey")
+    li = TD.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return o.join(li, o["o_orderkey"].eqNullSafe(li["l_orderkey"]), "left").select("o_orderkey", "l_linenumber")
+
+
+# ---------------------------------------------------------------------------
+# Remaining scalars (C-10..C-17, C-20, F-03)
+# ---------------------------------------------------------------------------
+
+from ..functions.coerce import date_prefix, to_bool, to_date_or, to_double  # noqa: E402
+from ..functions.regex import py_strip_sql, py_title_sql  # noqa: E402
+
+_FT_KW = V.REMOTE_KEYWORDS_FRANCE_TRAVAIL
+
+
+def _kw_sql(x: str, kws) -> str:
+    return "(" + " OR ".join(f"contains({x}, {O.sql_str(k)})" for k in kws) + ")"
+
+
+@register("remote_flag", O.with_postings(
+    f"SELECT ingest_seq, {_kw_sql("lower(coalesce(lieu, ''))", _FT_KW)} OR "
+    f"{_kw_sql("lower(coalesce(description, ''))", _FT_KW)} AS remote_ft, "
+    f"{_kw_sql("lower(coalesce(lieu, ''))", V.REMOTE_KEYWORDS_THEMUSE)} OR "
+    f"{_kw_sql("lower(coalesce(description, ''))", V.REMOTE_KEYWORDS_THEMUSE)} AS remote_muse, "
+    f"{_kw_sql("lower(coalesce(titre, 'nan') || ' ' || coalesce(tags, 'nan'))", V.REMOTE_KEYWORDS_LINKEDIN)} "
+    "AS remote_linkedin FROM postings"))
+def q_remote_flag(spark, sf_dir):
+    return P(spark, sf_dir).select(
+        "ingest_seq",
+        T.remote_from_place_or_text("lieu", "description").alias("remote_ft"),
+        T.remote_from_place_or_text("lieu", "description", V.REMOTE_KEYWORDS_THEMUSE).alias("remote_muse"),
+        T.remote_from_title_contract("titre", "tags").alias("remote_linkedin"))
+
+
+@register("region_label", O.with_postings(
+    "SELECT ingest_seq, CASE WHEN contains(coalesce(lieu, ''), ' - ') THEN "
+    f"{py_strip_sql("split_part(coalesce(lieu, ''), ' - ', 2)")} "
+    "WHEN coalesce(lieu, '') = '' THEN 'N/A' ELSE lieu END AS region FROM postings"))
+def q_region_label(spark, sf_dir):
+    return P(spark, sf_dir).select("ingest_seq", T.region_from_label("lieu").alias("region"))
+
+
+@register("region_last", O.with_postings(
+    "SELECT ingest_seq, CASE WHEN lieu IS NULL OR lieu = '' OR lieu = 'N/A' THEN 'N/A' "
+    f"WHEN len(string_split(lieu, ',')) >= 2 THEN {py_strip_sql("string_split(lieu, ',')[-1]")} "
+    "ELSE lieu END AS region FROM postings"))
+def q_region_last(spark, sf_dir):
+    return P(spark, sf_dir).select("ingest_seq", T.region_from_location("lieu").alias("region"))
+
+
+@register("bool_coerce", O.with_postings(
+    "SELECT ingest_seq, coalesce(lower(remote) IN ('true', '1', 'oui'), false) AS remote_merge, "
+    "coalesce(lower(remote) IN ('true', '1', 'yes', 'oui', 'remote'), false) AS remote_transform FROM postings"))
+def q_bool_coerce(spark, sf_dir):
+    return P(spark, sf_dir).select("ingest_seq", to_bool("remote", V.TRUE_TOKENS_MERGE).alias("remote_merge"),
+                                   to_bool("remote", V.TRUE_TOKENS_TRANSFORM).alias("remote_transform"))
+
+
+@register("date_coerce", O.with_postings(
+    f"SELECT ingest_seq, coalesce(TRY_CAST(date_creation AS DATE), DATE '{RUN_DATE}') AS date_creation, "
+    "substr(coalesce(date_creation, ''), 1, 10) AS date_prefix FROM postings"))
+def q_date_coerce(spark, sf_dir):
+    return P(spark, sf_dir).select("ingest_seq", to_date_or("date_creation", RUN_DATE).alias("date_creation"),
+                                   date_prefix("date_creation").alias("date_prefix"))
+
+
+@register("num_coerce",
+          """SELECT event_id, TRY_CAST(regexp_extract(props, '"k": *([^,}]*)', 1) AS DOUBLE) AS k, """
+          "TRY_CAST(event_type AS DOUBLE) AS event_type_num FROM events")
+def q_num_coerce(spark, sf_dir):
+    ev = TD.table(spark, sf_dir, "events")
+    raw_k = F.regexp_extract("props", r'"k": *([^,}]*)', 1)
+    return ev.select("event_id", to_double(raw_k).alias("k"), to_double("event_type").alias("event_type_num"))
+
+
+@register("truncate_fields",
+          f"SELECT doc_id, substr(text, 1, {V.TITLE_MAX}) AS titre, substr(coalesce(source, ''), 1, {V.PLACE_MAX}) "
+          f"AS lieu, substr(coalesce(lang, ''), 1, {V.TAGS_MAX}) AS tags, "
+          f"substr(text, 1, {V.DESCRIPTION_MAX}) AS description FROM documents")
+def q_truncate_fields(spark, sf_dir):
+    from ..operators.quality import truncate_fields
+    d = TD.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("titre"), F.col("source").alias("lieu"), F.col("lang").alias("tags"),
+        F.substring("text", 1, V.DESCRIPTION_MAX).alias("description"))
+    return truncate_fields(d).select("doc_id", "titre", "lieu", "tags", "description")
+
+
+@register("title_case",
+          f"SELECT page_id, {py_title_sql("substr(" + py_strip_sql('url') + ", 1, 50)")} AS label FROM pages")
+def q_title_case(spark, sf_dir):
+    from ..functions.regex import py_strip, py_title
+    return TD.table(spark, sf_dir, "pages").select(
+        "page_id", py_title(F.substring(py_strip(F.col("url")), 1, V.LABEL_MAX)).alias("label"))
