@@ -119,24 +119,36 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | (py_strip(col) == "")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable).
+
+    Spark re-evaluates a non-trivial expression in every CASE branch that
+    mentions it; binding it through a one-element ``transform`` computes it once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: Column | str | None,
-                ignore_case: bool = False, guard: bool = True) -> Column:
+                ignore_case: bool = False, guard: bool = False) -> Column:
     """Label of the first rule whose pattern is found in ``text``; else ``default``.
 
     Rule order is kept (it is not the leftmost match of one big alternation).
-    With ``guard``, one combined alternation is tried first so the common
-    "no rule matches" case costs one regex scan instead of ``len(rules)``.
+    ``text`` is evaluated once per row. With ``guard``, one combined
+    alternation is tried first: worth it only when most rows match no rule.
     """
     default_col = default if isinstance(default, Column) else F.lit(default)
-    chain = None
-    for pattern, label in rules:
-        cond = text.rlike(java(pattern, ignore_case))
-        chain = F.when(cond, F.lit(label)) if chain is None else chain.when(cond, F.lit(label))
-    chain = chain.otherwise(default_col)
-    if not guard:
-        return chain
-    combined = "|".join(f"(?:{p})" for p, _ in rules)
-    return F.when(text.rlike(java(combined, ignore_case)), chain).otherwise(default_col)
+
+    def chain_on(t: Column) -> Column:
+        chain = None
+        for pattern, label in rules:
+            cond = t.rlike(java(pattern, ignore_case))
+            chain = F.when(cond, F.lit(label)) if chain is None else chain.when(cond, F.lit(label))
+        chain = chain.otherwise(default_col)
+        if not guard:
+            return chain
+        combined = "|".join(f"(?:{p})" for p, _ in rules)
+        return F.when(t.rlike(java(combined, ignore_case)), chain).otherwise(default_col)
+
+    return bind(text, chain_on)
 
 
 def any_contains(text: Column, keywords: Sequence[str]) -> Column:

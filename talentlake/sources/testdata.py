@@ -50,8 +50,18 @@ SOURCES = ["france_travail", "arbeitnow", "themuse", "remotive", "serpapi", "kag
 LINK_PREFIX = "https://jobs.example.com/"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A scan of many files already has plenty of partitions and is returned as
+    is; a single-row-group file is one split, which would leave all but one
+    core idle on CPU-heavy rules, so it is redistributed round-robin."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _pick(k: Column, values: list) -> Column:
