@@ -761,3 +761,86 @@ def q_title_case(spark, sf_dir):
     from ..functions.regex import py_strip, py_title
     return TD.table(spark, sf_dir, "pages").select(
         "page_id", py_title(F.substring(py_strip(F.col("url")), 1, V.LABEL_MAX)).alias("label"))
+
+
+# ---------------------------------------------------------------------------
+# Run reports (A-11, A-12, A-28)
+# ---------------------------------------------------------------------------
+
+from . import pipeline as PL  # noqa: E402
+
+
+@register("merge_report", O.with_postings(
+    "SELECT 'dedup_before' AS metric, count(*) AS n FROM m_est "
+    "UNION ALL SELECT 'dedup_after', count(*) FROM m_d2 "
+    "UNION ALL SELECT 'dedup_removed', (SELECT count(*) FROM m_est) - (SELECT count(*) FROM m_d2) "
+    "UNION ALL SELECT 'filter_before', count(*) FROM m_d2 "
+    "UNION ALL SELECT 'filter_after', count(*) FROM merged "
+    "UNION ALL SELECT 'source:' || source, count(*) FROM merged WHERE source IS NOT NULL GROUP BY source",
+    MERGED_CTES))
+def q_merge_report(spark, sf_dir):
+    return PL.merge_report(P(spark, sf_dir))
+
+
+@register("run_report", O.with_postings(
+    f"SELECT 'raw' AS stage, reg.source, CAST(coalesce(raw.n, 0) AS BIGINT) AS n FROM "
+    f"(SELECT unnest({O._list(V.SOURCE_ORDER)}) AS source) reg "
+    "LEFT JOIN (SELECT source, count(*) AS n FROM postings GROUP BY source) raw USING (source) "
+    "UNION ALL SELECT 'raw_total', NULL, (SELECT count(*) FROM postings) "
+    "UNION ALL SELECT 'merged', NULL, (SELECT count(*) FROM merged)", MERGED_CTES))
+def q_run_report(spark, sf_dir):
+    landed = P(spark, sf_dir)
+    return PL.run_report(landed, merge_stage(landed))
+
+
+@register("connector_counts", O.with_postings(
+    "SELECT source, count(*) AS n_in, count(DISTINCT hash_id) AS n_unique FROM postings GROUP BY source"))
+def q_connector_counts(spark, sf_dir):
+    return PL.connector_counts(P(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Connector over landed payloads derived from the tables (S-03, C-09, C-11, C-14, C-17..C-19)
+# ---------------------------------------------------------------------------
+
+from .. import schema as SCH  # noqa: E402
+from ..sources import connectors as CN  # noqa: E402
+
+FT_SEARCHES = V.FRANCE_TRAVAIL_SEARCHES[V.IT_SECTOR]
+FT_COLS = ["hash_id", "titre", "entreprise", "lieu", "region", "salaire_min", "salaire_max", "salaire_brut",
+           "remote", "contrat", "contrat_type", "categorie", "secteur", "description", "lien", "tags",
+           "rome_code", "niveau", "date_creation", "date_scraping", "source", "poste_recherche"]
+
+
+def _ft_sql() -> str:
+    search = f"{O._list(FT_SEARCHES)}[(floor(ingest_seq / {TD.FT_PAGE_ROWS})::BIGINT % {len(FT_SEARCHES)}) + 1]"
+    lab = "coalesce(salaire_brut, '')"
+    nums = (f"list_transform(regexp_extract_all(replace({lab}, ' ', ''), '([\\p{{Nd}}]+(?:[,.][\\p{{Nd}}]+)?)', 1),"
+            " lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE))")
+    nums = f"(CASE WHEN contains(lower({lab}), 'mensuel') THEN list_transform({nums}, lambda x: x * 12) ELSE {nums} END)"
+    kw = lambda x: "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), {O.sql_str(k)})"
+                                     for k in V.REMOTE_KEYWORDS_FRANCE_TRAVAIL) + ")"
+    region = (f"CASE WHEN contains(coalesce(lieu, ''), ' - ') THEN {py_strip_sql("split_part(lieu, ' - ', 2)")} "
+              "WHEN coalesce(lieu, '') = '' THEN 'N/A' ELSE lieu END")
+    return O.with_postings(f"""
+SELECT substr(sha1(t || '|' || e || '|' || l), 1, 16) AS hash_id, t AS titre, e AS entreprise, l AS lien,
+  coalesce(lieu, 'N/A') AS lieu, {region} AS region,
+  list_min({nums}) AS salaire_min, list_max({nums}) AS salaire_max, {lab} AS salaire_brut,
+  {kw('lieu')} OR {kw('description')} AS remote,
+  coalesce(tags, 'N/A') AS contrat, coalesce(remote, 'N/A') AS contrat_type,
+  {search} AS categorie, '{V.IT_SECTOR}' AS secteur,
+  substr(coalesce(description, 'N/A'), 1, {V.DESCRIPTION_MAX}) AS description,
+  coalesce(secteur, '') || ', ' || coalesce(tags, '') AS tags, coalesce(source, '') AS rome_code,
+  coalesce(secteur, 'N/A') AS niveau, substr(coalesce(date_creation, ''), 1, 10) AS date_creation,
+  '{RUN_DATE}' AS date_scraping, 'france_travail' AS source, {search} AS poste_recherche
+FROM (SELECT *, coalesce(titre, 'N/A') AS t, coalesce(entreprise, 'N/A') AS e, coalesce(lien, 'N/A') AS l
+      FROM postings)""")
+
+
+@register("connector_france_travail", _ft_sql())
+def q_connector_france_travail(spark, sf_dir):
+    """Postings landed as France Travail API pages, read back and flattened."""
+    path = shared_path(spark, f"landing-ft-{uuid.uuid4().hex}")
+    TD.land_france_travail_pages(TD.postings(spark, sf_dir), path, FT_SEARCHES)
+    raw = CN.read_payloads(spark, path, SCH.FRANCE_TRAVAIL_PAYLOAD, one_per_file=False)
+    return CN.flatten_france_travail(raw, RUN_DATE, dedup=False).select(*FT_COLS)

@@ -24,9 +24,10 @@ from ..operators.joins import map_lookup
 from ..operators.quality import is_it_keyword
 
 
-def read_payloads(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Landed JSON responses (one document per file, or JSON lines)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_payloads(spark: SparkSession, path: str, schema, one_per_file: bool = True) -> DataFrame:
+    """Landed JSON responses: one document per file (as saved from the API), or
+    JSON Lines (``one_per_file=False``, one response per line, splittable)."""
+    return spark.read.schema(schema).option("multiLine", one_per_file).json(path)
 
 
 def _jobs(raw: DataFrame, array_col: str, search_col: str | None) -> DataFrame:
@@ -47,7 +48,8 @@ FT_SECTOR = {term: sector for sector, terms in V.FRANCE_TRAVAIL_SEARCHES.items()
 
 
 # S-03
-def flatten_france_travail(raw: DataFrame, run_date: str, search_col: str = "search") -> DataFrame:
+def flatten_france_travail(raw: DataFrame, run_date: str, search_col: str = "search",
+                           dedup: bool = True) -> DataFrame:
     j = _jobs(raw, "resultats", search_col)
     job = F.col("job")
     titre, entreprise = _d(job["intitule"], "N/A"), _d(job["entreprise"]["nom"], "N/A")
@@ -76,7 +78,8 @@ def flatten_france_travail(raw: DataFrame, run_date: str, search_col: str = "sea
         _d(job["experienceLibelle"], "N/A").alias("niveau"),
         F.substring(_d(job["dateCreation"], ""), 1, 10).alias("date_creation"),
         F.col("_search").alias("poste_recherche"), "ingest_seq")
-    return keep_first(_finish(out, "france_travail", run_date), ["hash_id"], ["ingest_seq"])
+    out = _finish(out, "france_travail", run_date)
+    return keep_first(out, ["hash_id"], ["ingest_seq"]) if dedup else out
 
 
 # S-04

@@ -101,3 +101,33 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(k, SOURCES).alias("source"),
     )
     return out.withColumn("hash_id", posting_hash("titre", "entreprise", "lien"))
+
+
+FT_PAGE_ROWS = 100
+
+
+def land_france_travail_pages(postings_df: DataFrame, path: str, searches: list[str]) -> None:
+    """Render postings as France Travail search responses (pages of at most 100
+    results, one JSON document per page) under ``search=<term>`` folders."""
+    page = F.floor(F.col("ingest_seq") / FT_PAGE_ROWS)
+    terms = F.array(*[F.lit(t) for t in searches])
+    job = F.struct(
+        F.col("titre").alias("intitule"),
+        F.struct(F.col("entreprise").alias("nom")).alias("entreprise"),
+        F.struct(F.col("lien").alias("urlOrigine")).alias("origineOffre"),
+        F.struct(F.col("salaire_brut").alias("libelle")).alias("salaire"),
+        F.struct(F.col("lieu").alias("libelle")).alias("lieuTravail"),
+        F.array(F.struct(F.col("secteur").alias("libelle")), F.struct(F.col("tags").alias("libelle")))
+         .alias("competences"),
+        F.col("source").alias("romeCode"),
+        F.col("tags").alias("typeContratLibelle"),
+        F.col("remote").alias("typeContrat"),
+        F.col("description").alias("description"),
+        F.col("secteur").alias("experienceLibelle"),
+        F.col("date_creation").alias("dateCreation"))
+    pages = (postings_df.select(page.alias("page"), "ingest_seq", job.alias("job"))
+             .groupBy("page")
+             .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "job"))).alias("_jobs"))
+             .select(terms[F.pmod(F.col("page"), F.lit(len(searches))).cast("int")].alias("search"),
+                     F.transform("_jobs", lambda x: x["job"]).alias("resultats")))
+    pages.write.mode("overwrite").partitionBy("search").json(path)
