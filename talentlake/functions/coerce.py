@@ -33,8 +33,8 @@ def posting_hash(titre: Column | str, entreprise: Column | str, lien: Column | s
 
 # C-10
 def to_double(col: Column | str) -> Column:
-    """Non-numeric text -> null (never an error under ANSI mode)."""
-    return _c(col).cast("string").try_cast("double")
+    """Non-numeric text -> null (never an error under ANSI mode); numbers pass through."""
+    return _c(col).try_cast("double")
 
 
 # C-15

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import attach_small
 
 DEFAULT_MAX_IN_MEMORY = 2_000_000
@@ -47,12 +48,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "m
     """DataFrame(keys..., alias): the exact (interpolated) median of ``value`` per group."""
     keys = list(keys)
     vals = _values(df, keys, value)
-    stats = (vals.groupBy(*keys)
-             .agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-             .checkpoint())
-    largest = stats.agg(F.max("_n")).first()[0] or 0
+    largest = vals.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= max_in_memory:
         return vals.groupBy(*keys).agg(F.median("_v").alias(alias))
+    stats = materialize(vals.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "median-stats")
     return _select_by_rank(vals, stats, keys, alias, bins, small)
 
 
@@ -66,7 +66,8 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
         F.when(F.col("_which") == 0, F.floor((F.col("_n") - 1) / 2)).otherwise(F.floor(F.col("_n") / 2))
          .cast("long").alias("_r"),
         "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
-    state = state.withColumn("_done", (F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small)).checkpoint()
+    state = materialize(state.withColumn("_done", (F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small)),
+                        "median-state")
     tkeys = keys + ["_which"]
 
     while True:
@@ -87,7 +88,7 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
                 .select(*tkeys, "_r", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
                         (F.col("_below") + F.col("_before")).alias("_below"), F.col("_bc").alias("_cnt")))
         pick = pick.withColumn("_done", (F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small))
-        state = state.where(F.col("_done")).unionByName(pick).checkpoint()
+        state = materialize(state.where(F.col("_done")).unionByName(pick), "median-state")
 
     single = state.where(F.col("_lo") == F.col("_hi")).select(*tkeys, F.col("_lo").alias("_val"))
     need = state.where(F.col("_lo") != F.col("_hi"))

@@ -43,7 +43,7 @@ def impute_salaries(df: DataFrame, keys: Sequence[str] = ("secteur", "contrat_ty
     # Several passes read the estimates (group stats, medians, global median, the
     # fill itself): write them once instead of recomputing the upstream plan.
     est = materialize(estimate_salaries(df), "salary-estimates")
-    medians = exact_median(est, keys, value, alias="_group_median", **median_kw).checkpoint()
+    medians = materialize(exact_median(est, keys, value, alias="_group_median", **median_kw), "group-medians")
     n_groups = medians.count()
     overall = global_median(est, value, **median_kw)
     filled = attach_small(est, medians, keys, n_groups, how="left")

@@ -60,8 +60,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_out else df
 
 
 def _pick(k: Column, values: list) -> Column:
@@ -74,7 +75,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``ingest_seq`` carrying the landing order."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    # dimension side: left to the planner (broadcast when its file size allows), not spread
+    c = table(spark, sf_dir, "customer", spread_out=False).select("c_custkey", "c_name", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
     k = F.col("o_orderkey")
     titre = F.when(k % 97 == 0, F.lit(None)).otherwise(_pick(k, TITLES))
