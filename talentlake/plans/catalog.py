@@ -844,3 +844,66 @@ def q_connector_france_travail(spark, sf_dir):
     TD.land_france_travail_pages(TD.postings(spark, sf_dir), path, FT_SEARCHES)
     raw = CN.read_payloads(spark, path, SCH.FRANCE_TRAVAIL_PAYLOAD, one_per_file=False)
     return CN.flatten_france_travail(raw, RUN_DATE, dedup=False).select(*FT_COLS)
+
+
+# LinkedIn dump connector (S-08, F-06, J-01, C-14, C-23) over postings rendered as the dump's two files
+def _linkedin_inputs(spark, sf_dir):
+    p = P(spark, sf_dir)
+    posts = p.select(F.col("titre").alias("job_title"), F.col("entreprise").alias("company"),
+                     F.col("lieu").alias("job_location"), F.col("lien").alias("job_link"),
+                     F.col("tags").alias("job_type"), F.col("secteur").alias("job_level"),
+                     F.col("source").alias("search_country"), F.col("date_creation").alias("first_seen"),
+                     F.col("salaire_brut").alias("search_position"), "ingest_seq")
+    skills = p.groupBy(F.col("lien").alias("job_link"), F.col("description").alias("job_skills")) \
+        .agg(F.min("ingest_seq").alias("skills_seq"))
+    return posts, skills
+
+
+LI_COLS = ["hash_id", "titre", "entreprise", "lieu", "region", "remote", "contrat", "contrat_type", "categorie",
+           "secteur", "description", "lien", "tags", "niveau", "date_creation", "date_scraping", "source",
+           "poste_recherche"]
+
+
+def _li_sql() -> str:
+    def st(c):
+        return py_strip_sql(f"coalesce({c}, 'nan')")
+    kw = " OR ".join(f"contains(lower(titre), {O.sql_str(k)})" for k in V.IT_KEYWORDS)
+    rkw = " OR ".join(f"contains(lower(t || ' ' || c), {O.sql_str(k)})" for k in V.REMOTE_KEYWORDS_LINKEDIN)
+    return O.with_postings(f"""
+SELECT hash_id, t AS titre, e AS entreprise, lo AS lieu, rg AS region, ({rkw}) AS remote, c AS contrat,
+  c AS contrat_type, '{V.LINKEDIN_CATEGORY}' AS categorie, '{V.IT_SECTOR}' AS secteur,
+  CASE WHEN coalesce(job_skills, 'nan') NOT IN ('', 'nan') THEN substr(job_skills, 1, {V.DESCRIPTION_MAX}) END
+    AS description,
+  l AS lien, substr(coalesce(salaire_brut, 'nan'), 1, {V.LINKEDIN_TAGS_MAX}) AS tags, nv AS niveau,
+  substr(coalesce(date_creation, 'nan'), 1, 10) AS date_creation, '{RUN_DATE}' AS date_scraping,
+  'kaggle_linkedin' AS source, t AS poste_recherche
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY hash_id ORDER BY ingest_seq, skills_seq NULLS FIRST) AS rn FROM (
+    SELECT *, substr(sha1(t || '|' || e || '|' || l), 1, 16) AS hash_id FROM (
+      SELECT j.*, {st('titre')} AS t, {st('lien')} AS l, {st('tags')} AS c, {st('lieu')} AS lo,
+        {st('source')} AS rg, {st('secteur')} AS nv,
+        CASE WHEN {st('entreprise')} IN ('', 'nan') THEN '{V.DEFAULT_COMPANY}' ELSE {st('entreprise')} END AS e
+      FROM (SELECT p.*, sk.job_skills, sk.skills_seq FROM (SELECT * FROM postings WHERE {kw}) p
+            LEFT JOIN (SELECT lien AS job_link, description AS job_skills, min(ingest_seq) AS skills_seq
+                       FROM postings GROUP BY lien, description) sk
+            ON p.lien IS NOT DISTINCT FROM sk.job_link) j)))
+WHERE rn = 1""")
+
+
+@register("connector_linkedin", _li_sql())
+def q_connector_linkedin(spark, sf_dir):
+    posts, skills = _linkedin_inputs(spark, sf_dir)
+    return CN.flatten_linkedin(posts, skills, RUN_DATE, skills_order_col="skills_seq").select(*LI_COLS)
+
+
+# CSV edge (S-01, S-02): postings written as CSV with multi-line-safe quoting, read back
+@register("csv_roundtrip", O.with_postings(
+    "SELECT ingest_seq, titre, entreprise, lieu, description, lien, salaire_brut, tags, hash_id FROM postings"))
+def q_csv_roundtrip(spark, sf_dir):
+    from ..sources.landing import read_csv, write_csv
+    cols = ["ingest_seq", "titre", "entreprise", "lieu", "description", "lien", "salaire_brut", "tags", "hash_id"]
+    path = shared_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
+    write_csv(P(spark, sf_dir).select(*cols), path)
+    back = read_csv(spark, path, schema="ingest_seq long, titre string, entreprise string, lieu string, "
+                    "description string, lien string, salaire_brut string, tags string, hash_id string")
+    return back

@@ -163,15 +163,15 @@ def _text(c: Column) -> Column:
 
 
 def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: str,
-                     order_col: str = "ingest_seq") -> DataFrame:
+                     order_col: str = "ingest_seq", skills_order_col: str | None = None) -> DataFrame:
     """LinkedIn dump: IT keyword filter, left join of the skills file on job_link
     (null links match each other, as in pandas), canonical columns."""
     p = postings.where(is_it_keyword("job_title"))
     if order_col not in p.columns:
         p = p.withColumn(order_col, F.monotonically_increasing_id())
     if skills is not None:
-        sk = skills.select(F.col("job_link").alias("_sk_link"), "job_skills",
-                           F.monotonically_increasing_id().alias("_sk_seq"))
+        sk_order = F.col(skills_order_col) if skills_order_col else F.monotonically_increasing_id()
+        sk = skills.select(F.col("job_link").alias("_sk_link"), "job_skills", sk_order.alias("_sk_seq"))
         p = p.join(sk, p["job_link"].eqNullSafe(sk["_sk_link"]), "left").drop("_sk_link")
     else:
         p = p.withColumn("job_skills", F.lit(None).cast("string")).withColumn("_sk_seq", F.lit(0).cast("long"))

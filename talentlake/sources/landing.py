@@ -36,7 +36,9 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 # S-02
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header CSV, cells written verbatim (Spark would otherwise trim their edges)."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # S-13
