@@ -907,3 +907,106 @@ def q_csv_roundtrip(spark, sf_dir):
     back = read_csv(spark, path, schema="ingest_seq long, titre string, entreprise string, lieu string, "
                     "description string, lien string, salaire_brut string, tags string, hash_id string")
     return back
+
+
+# The Muse, Arbeitnow, Remotive, SerpApi connectors over postings rendered as landed pages
+# (S-04..S-07, C-12, C-13, C-18, C-19)
+MUSE_CATEGORIES = list(V.THEMUSE_SECTORS)
+
+
+def _muse_job():
+    return F.struct(
+        F.col("titre").alias("name"), F.struct(F.col("entreprise").alias("name")).alias("company"),
+        F.struct(F.col("lien").alias("landing_page")).alias("refs"),
+        F.array(F.struct(F.col("lieu").alias("name"))).alias("locations"),
+        F.array(F.struct(F.col("secteur").alias("name"))).alias("levels"),
+        F.col("description").alias("contents"), F.col("tags").alias("type"),
+        F.col("date_creation").alias("publication_date"))
+
+
+def _landed(spark, sf_dir, name, array_field, job, schema, searches=None):
+    path = shared_path(spark, f"landing-{name}-{uuid.uuid4().hex}")
+    TD.land_pages(P(spark, sf_dir), path, array_field, job, searches)
+    return CN.read_payloads(spark, path, schema, one_per_file=False)
+
+
+def _lower_kw(x: str, kws) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), {O.sql_str(k)})" for k in kws) + ")"
+
+
+def _hash_sql(t, e, l):
+    return f"substr(sha1({t} || '|' || {e} || '|' || {l}), 1, 16)"
+
+
+_MUSE_CAT = f"{O._list(MUSE_CATEGORIES)}[(floor(ingest_seq / {TD.FT_PAGE_ROWS})::BIGINT % {len(MUSE_CATEGORIES)}) + 1]"
+MUSE_COLS = ["hash_id", "titre", "entreprise", "lieu", "region", "remote", "contrat", "contrat_type", "categorie",
+             "secteur", "description", "lien", "tags", "niveau", "date_creation", "source", "poste_recherche"]
+
+
+@register("connector_themuse", O.with_postings(f"""
+SELECT {_hash_sql('t', 'e', 'l')} AS hash_id, t AS titre, e AS entreprise, lo AS lieu,
+  CASE WHEN lo IN ('', 'N/A') THEN 'N/A' WHEN len(string_split(lo, ',')) >= 2
+       THEN {py_strip_sql("string_split(lo, ',')[-1]")} ELSE lo END AS region,
+  {_lower_kw('lo', V.REMOTE_KEYWORDS_THEMUSE)} OR {_lower_kw('d', V.REMOTE_KEYWORDS_THEMUSE)} AS remote,
+  ty AS contrat, ty AS contrat_type, {_MUSE_CAT} AS categorie, '{V.IT_SECTOR}' AS secteur, d AS description,
+  l AS lien, {_MUSE_CAT} AS tags, coalesce(secteur, 'N/A') AS niveau,
+  substr(coalesce(date_creation, ''), 1, 10) AS date_creation, 'themuse' AS source, {_MUSE_CAT} AS poste_recherche
+FROM (SELECT *, coalesce(titre, 'N/A') AS t, coalesce(entreprise, 'N/A') AS e, coalesce(lien, 'N/A') AS l,
+        coalesce(lieu, 'N/A') AS lo, coalesce(tags, '{V.THEMUSE_DEFAULT_TYPE}') AS ty,
+        CASE WHEN description IS NULL OR description = '' THEN 'N/A'
+             ELSE substr({O.strip_html_sql('description')}, 1, {V.DESCRIPTION_MAX}) END AS d
+      FROM postings)"""))
+def q_connector_themuse(spark, sf_dir):
+    raw = _landed(spark, sf_dir, "themuse", "results", _muse_job(), SCH.THEMUSE_PAYLOAD, MUSE_CATEGORIES)
+    return CN.flatten_themuse(raw, RUN_DATE, dedup=False).select(*MUSE_COLS)
+
+
+ARB_COLS = ["titre", "entreprise", "lieu", "remote", "description", "lien", "tags", "source"]
+
+
+@register("connector_arbeitnow", O.with_postings(f"""
+SELECT coalesce(titre, 'N/A') AS titre, coalesce(entreprise, 'N/A') AS entreprise, coalesce(lieu, 'N/A') AS lieu,
+  remote = 'True' AS remote, substr(coalesce(description, 'N/A'), 1, {V.ARBEITNOW_DESCRIPTION_MAX}) AS description,
+  coalesce(lien, 'N/A') AS lien,
+  array_to_string(list_filter([secteur, tags], lambda x: x IS NOT NULL), ', ') AS tags, 'arbeitnow' AS source
+FROM postings"""))
+def q_connector_arbeitnow(spark, sf_dir):
+    job = F.struct(F.col("titre").alias("title"), F.col("entreprise").alias("company_name"),
+                   F.col("lieu").alias("location"), (F.col("remote") == "True").alias("remote"),
+                   F.col("description").alias("description"), F.col("lien").alias("url"),
+                   F.filter(F.array("secteur", "tags"), lambda x: x.isNotNull()).alias("tags"))
+    raw = _landed(spark, sf_dir, "arbeitnow", "data", job, SCH.ARBEITNOW_PAYLOAD)
+    return CN.flatten_arbeitnow(raw, RUN_DATE, dedup=False).select(*ARB_COLS)
+
+
+REM_COLS = ["hash_id", "titre", "entreprise", "lieu", "secteur", "description", "lien", "source"]
+
+
+@register("connector_remotive", O.with_postings(f"""
+SELECT {_hash_sql('t', 'e', "coalesce(lien, 'None')")} AS hash_id, t AS titre, e AS entreprise,
+  coalesce(lieu, '{V.REMOTIVE_DEFAULT_PLACE}') AS lieu, '{V.IT_SECTOR}' AS secteur,
+  substr(coalesce(description, ''), 1, {V.REMOTIVE_DESCRIPTION_MAX}) AS description, lien, 'remotive' AS source
+FROM (SELECT *, coalesce(titre, 'N/A') AS t,
+        CASE WHEN entreprise IS NULL OR entreprise = '' THEN '{V.DEFAULT_COMPANY}' ELSE entreprise END AS e
+      FROM postings)"""))
+def q_connector_remotive(spark, sf_dir):
+    job = F.struct(F.col("titre").alias("title"), F.col("entreprise").alias("company_name"),
+                   F.col("lien").alias("url"), F.col("lieu").alias("candidate_required_location"),
+                   F.col("description").alias("description"))
+    raw = _landed(spark, sf_dir, "remotive", "jobs", job, SCH.REMOTIVE_PAYLOAD)
+    return CN.flatten_remotive(raw, RUN_DATE, dedup=False).select(*REM_COLS)
+
+
+@register("connector_serpapi", O.with_postings(f"""
+SELECT {_hash_sql('t', 'e', "coalesce(lien, '')")} AS hash_id, t AS titre, e AS entreprise,
+  coalesce(lieu, 'N/A') AS lieu, '{V.IT_SECTOR}' AS secteur, '' AS description, coalesce(lien, '') AS lien,
+  'serpapi' AS source
+FROM (SELECT *, coalesce(titre, 'N/A') AS t,
+        CASE WHEN entreprise IS NULL OR entreprise = '' THEN '{V.DEFAULT_COMPANY}' ELSE entreprise END AS e
+      FROM postings)"""))
+def q_connector_serpapi(spark, sf_dir):
+    job = F.struct(F.col("titre").alias("title"), F.col("entreprise").alias("company_name"),
+                   F.col("lieu").alias("location"),
+                   F.array(F.struct(F.col("lien").alias("link"))).alias("related_links"))
+    raw = _landed(spark, sf_dir, "serpapi", "jobs_results", job, SCH.SERPAPI_PAYLOAD)
+    return CN.flatten_serpapi(raw, RUN_DATE, dedup=False).select(*REM_COLS)

@@ -83,7 +83,7 @@ def flatten_france_travail(raw: DataFrame, run_date: str, search_col: str = "sea
 
 
 # S-04
-def flatten_themuse(raw: DataFrame, run_date: str, search_col: str = "search") -> DataFrame:
+def flatten_themuse(raw: DataFrame, run_date: str, search_col: str = "search", dedup: bool = True) -> DataFrame:
     j = _jobs(raw, "results", search_col)
     job = F.col("job")
     titre, entreprise = _d(job["name"], "N/A"), _d(job["company"]["name"], "N/A")
@@ -107,7 +107,8 @@ def flatten_themuse(raw: DataFrame, run_date: str, search_col: str = "search") -
         first_or_default(job["levels"], "name").alias("niveau"),
         F.substring(_d(job["publication_date"], ""), 1, 10).alias("date_creation"),
         cat.alias("poste_recherche"), "ingest_seq")
-    return keep_first(_finish(out, "themuse", run_date), ["hash_id"], ["ingest_seq"])
+    out = _finish(out, "themuse", run_date)
+    return keep_first(out, ["hash_id"], ["ingest_seq"]) if dedup else out
 
 
 def _company_or_default(c: Column) -> Column:
@@ -115,7 +116,7 @@ def _company_or_default(c: Column) -> Column:
 
 
 # S-05
-def flatten_remotive(raw: DataFrame, run_date: str) -> DataFrame:
+def flatten_remotive(raw: DataFrame, run_date: str, dedup: bool = True) -> DataFrame:
     j = _jobs(raw, "jobs", None)
     job = F.col("job")
     titre, entreprise = _d(job["title"], "N/A"), _company_or_default(job["company_name"])
@@ -126,11 +127,12 @@ def flatten_remotive(raw: DataFrame, run_date: str) -> DataFrame:
         F.lit(V.IT_SECTOR).alias("secteur"),
         F.substring(_d(job["description"], ""), 1, V.REMOTIVE_DESCRIPTION_MAX).alias("description"),
         job["url"].alias("lien"), "ingest_seq")
-    return keep_first(_finish(out, "remotive", run_date), ["hash_id"], ["ingest_seq"])
+    out = _finish(out, "remotive", run_date)
+    return keep_first(out, ["hash_id"], ["ingest_seq"]) if dedup else out
 
 
 # S-06
-def flatten_serpapi(raw: DataFrame, run_date: str) -> DataFrame:
+def flatten_serpapi(raw: DataFrame, run_date: str, dedup: bool = True) -> DataFrame:
     j = _jobs(raw, "jobs_results", None)
     job = F.col("job")
     titre, entreprise = _d(job["title"], "N/A"), _company_or_default(job["company_name"])
@@ -139,11 +141,12 @@ def flatten_serpapi(raw: DataFrame, run_date: str) -> DataFrame:
         posting_hash(titre, entreprise, lien).alias("hash_id"),
         titre.alias("titre"), entreprise.alias("entreprise"), _d(job["location"], "N/A").alias("lieu"),
         F.lit(V.IT_SECTOR).alias("secteur"), F.lit("").alias("description"), lien.alias("lien"), "ingest_seq")
-    return keep_first(_finish(out, "serpapi", run_date), ["hash_id"], ["ingest_seq"])
+    out = _finish(out, "serpapi", run_date)
+    return keep_first(out, ["hash_id"], ["ingest_seq"]) if dedup else out
 
 
 # S-07 (+ D-03 across searches)
-def flatten_arbeitnow(raw: DataFrame, run_date: str) -> DataFrame:
+def flatten_arbeitnow(raw: DataFrame, run_date: str, dedup: bool = True) -> DataFrame:
     j = _jobs(raw, "data", None)
     job = F.col("job")
     out = j.select(
@@ -153,7 +156,8 @@ def flatten_arbeitnow(raw: DataFrame, run_date: str) -> DataFrame:
         F.substring(_d(job["description"], "N/A"), 1, V.ARBEITNOW_DESCRIPTION_MAX).alias("description"),
         _d(job["url"], "N/A").alias("lien"),
         F.coalesce(F.array_join(job["tags"], ", "), F.lit("")).alias("tags"), "ingest_seq")
-    return keep_first(_finish(out, "arbeitnow", run_date), ["titre", "entreprise"], ["ingest_seq"])
+    out = _finish(out, "arbeitnow", run_date)
+    return keep_first(out, ["titre", "entreprise"], ["ingest_seq"]) if dedup else out
 
 
 # S-08 (+ F-06, J-01, C-23)

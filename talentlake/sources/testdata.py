@@ -133,3 +133,21 @@ def land_france_travail_pages(postings_df: DataFrame, path: str, searches: list[
              .select(terms[F.pmod(F.col("page"), F.lit(len(searches))).cast("int")].alias("search"),
                      F.transform("_jobs", lambda x: x["job"]).alias("resultats")))
     pages.write.mode("overwrite").partitionBy("search").json(path)
+
+
+def land_pages(postings_df: DataFrame, path: str, array_field: str, job: Column,
+               searches: list[str] | None = None, page_rows: int = FT_PAGE_ROWS) -> None:
+    """Render postings as API responses: pages of at most ``page_rows`` results
+    (``array_field``), one JSON line per page, under ``search=<term>`` folders when
+    ``searches`` is given (the term of page p is ``searches[p % len]``)."""
+    page = F.floor(F.col("ingest_seq") / page_rows)
+    grouped = (postings_df.select(page.alias("page"), "ingest_seq", job.alias("job")).groupBy("page")
+               .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "job"))).alias("_jobs")))
+    cols = [F.transform("_jobs", lambda x: x["job"]).alias(array_field)]
+    w = grouped.select(*cols, "page")
+    if searches:
+        terms = F.array(*[F.lit(t) for t in searches])
+        w = w.withColumn("search", terms[F.pmod(F.col("page"), F.lit(len(searches))).cast("int")])
+        w.drop("page").write.mode("overwrite").partitionBy("search").json(path)
+    else:
+        w.drop("page").write.mode("overwrite").json(path)
