@@ -573,22 +573,30 @@ s AS (SELECT c.query_id, m.vec_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
-@register("cosine_topk", f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {TOP_K}")
+# Scores are reported to 9 decimals: the two engines sum the dot products in a
+# different order, which moves the last bits; ranks come from the full-precision score.
+SCORE_DP = 9
+
+
+@register("cosine_topk", f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, round(score, {SCORE_DP}) AS score, rank "
+          f"FROM r WHERE rank <= {TOP_K}")
 def q_cosine_topk(spark, sf_dir):
     emb = TD.table(spark, sf_dir, "embeddings")
-    return M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id").select("query_id", "vec_id", "score", "rank")
+    return M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id").select(
+        "query_id", "vec_id", F.round("score", SCORE_DP).alias("score"), "rank")
 
 
 MIN_SCORE = 0.35
 
 
 @register("recommend_min_score",
-          f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {TOP_K} "
-          f"AND score >= {MIN_SCORE}")
+          f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, round(score, {SCORE_DP}) AS score, rank FROM r "
+          f"WHERE rank <= {TOP_K} AND score >= {MIN_SCORE}")
 def q_recommend_min_score(spark, sf_dir):
     emb = TD.table(spark, sf_dir, "embeddings")
     hits = M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id")
-    return hits.where(F.col("score") >= MIN_SCORE).select("query_id", "vec_id", "score", "rank")
+    return hits.where(F.col("score") >= MIN_SCORE).select(
+        "query_id", "vec_id", F.round("score", SCORE_DP).alias("score"), "rank")
 
 
 @register("text_recommend", None)
