@@ -396,7 +396,7 @@ def q_last_update(spark, sf_dir):
 
 @register("profile_stats", D(
     "SELECT count(*) AS n_offres, count(DISTINCT titre_normalise) AS n_titres_normalises, "
-    "count_if(competences_extraites <> '') AS n_avec_competences, count(salaire_annuel_estime) AS n_avec_salaire, "
+    "CAST(count_if(competences_extraites <> '') AS BIGINT) AS n_avec_competences, count(salaire_annuel_estime) AS n_avec_salaire, "
     "count(DISTINCT region) AS n_regions FROM transformed"))
 def q_profile_stats(spark, sf_dir):
     return B.profile_stats(transformed_df(spark, sf_dir))
@@ -444,7 +444,7 @@ def q_skill_matrix(spark, sf_dir):
 
 
 @register("python_gauge", D(
-    f"SELECT pct_python, 60.0 AS target, pct_python - 60.0 AS delta, pct_python >= 60.0 AS met FROM ("
+    f"SELECT pct_python, 60.0::DOUBLE AS target, pct_python - 60.0::DOUBLE AS delta, pct_python >= 60.0 AS met FROM ("
     f"SELECT {_pct_sql('count_if(has_python)')} AS pct_python FROM dashboard)"))
 def q_python_gauge(spark, sf_dir):
     return B.python_gauge(view_df(spark, sf_dir))
@@ -476,7 +476,8 @@ def q_top_cities(spark, sf_dir):
 
 
 @register("cdi_cdd_by_source", D(
-    "SELECT source, count_if(type_contrat = 'CDI') AS CDI, count_if(type_contrat = 'CDD') AS CDD FROM dashboard "
+    "SELECT source, CAST(count_if(type_contrat = 'CDI') AS BIGINT) AS CDI, "
+    "CAST(count_if(type_contrat = 'CDD') AS BIGINT) AS CDD FROM dashboard "
     "WHERE source IS NOT NULL GROUP BY source"))
 def q_cdi_cdd_by_source(spark, sf_dir):
     return B.contracts_by_source(view_df(spark, sf_dir))
@@ -510,7 +511,8 @@ def q_mom_growth(spark, sf_dir):
 
 
 _CAL_SQL = (
-    "SELECT d AS date, year(d) AS annee, month(d) AS mois, strftime(d, '%B %Y') AS nom_mois, "
+    "SELECT d AS date, CAST(year(d) AS INTEGER) AS annee, CAST(month(d) AS INTEGER) AS mois, "
+    "strftime(d, '%B %Y') AS nom_mois, "
     "'T' || CAST(quarter(d) AS VARCHAR) AS trimestre, "
     "CAST(ceil((dayofyear(d) + dayofweek(CAST(date_trunc('year', d) AS DATE))) / 7) AS INTEGER) AS semaine "
     "FROM (SELECT CAST(unnest(generate_series(min(date_publication), max(date_publication), INTERVAL 1 DAY)) "
@@ -570,7 +572,8 @@ s AS (SELECT c.query_id, m.vec_id,
         CASE WHEN list_dot_product(c.cen, c.cen) = 0 OR list_dot_product(m.embedding::DOUBLE[], m.embedding::DOUBLE[]) = 0
              THEN 0.0 ELSE list_cosine_similarity(c.cen, m.embedding::DOUBLE[]) END AS score
       FROM c, embeddings m),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM s)"""
 
 
 # Scores are reported to 9 decimals: the two engines sum the dot products in a

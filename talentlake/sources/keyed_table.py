@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -24,7 +23,7 @@ from .. import schema as SC
 from ..functions.coerce import null_token
 from ..operators.dedup import keep_first
 from ..operators.joins import BROADCAST_MAX_ROWS
-from ..session import materialize
+from ..session import materialize, path_exists
 
 
 # S-14
@@ -47,11 +46,7 @@ def to_keyed(df: DataFrame, schema: StructType = SC.KEYED, extra: StructType | N
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except AnalysisException:
-        return False
+    return path_exists(spark, path)
 
 
 def new_rows(batch: DataFrame, existing_keys: DataFrame | None, keys: list[str], batch_keys: int | None) -> DataFrame:

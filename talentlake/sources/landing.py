@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.coerce import posting_hash
 from ..schema import LANDED
+from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
@@ -81,6 +82,9 @@ def fresh_only(df: DataFrame, run_date: str) -> DataFrame:
 def load_source(spark: SparkSession, name: str, path: str, run_date: str,
                 static: bool | None = None) -> DataFrame | None:
     static = name in V.STATIC_SOURCES if static is None else static
+    if not path_exists(spark, path):
+        log.warning("source %s skipped: missing", name)
+        return None
     try:
         df = read_csv(spark, path)
     except AnalysisException as e:  # missing path or unreadable
@@ -126,8 +130,4 @@ def union_sources(frames: Mapping[str, DataFrame]) -> DataFrame:
 # S-16
 def preferred_input(spark: SparkSession, transformed_path: str, merged_path: str) -> str:
     """The transformed output when it exists, else the merged one."""
-    try:
-        spark.read.parquet(transformed_path).limit(0).collect()
-        return transformed_path
-    except AnalysisException:
-        return merged_path
+    return transformed_path if path_exists(spark, transformed_path) else merged_path
