@@ -41,22 +41,32 @@ def normalise_title(titre: Column | str) -> Column:
 
 # --- C-03 skill extraction -----------------------------------------------------
 
-def skill_pattern() -> str:
-    """Whole-word alternation of the dictionary, longest term first."""
-    terms = sorted(V.SKILLS, key=len, reverse=True)
-    return r"\b(" + "|".join(escape_literal(t) for t in terms) + r")\b"
+def terms_pattern(terms) -> str:
+    """Whole-word, case-insensitive alternation of literal terms, longest first."""
+    ordered = sorted(terms, key=len, reverse=True)
+    return r"\b(" + "|".join(escape_literal(t) for t in ordered) + r")\b"
 
 
-def extract_skills(text: Column | str, cap: int = V.SKILLS_MAX) -> Column:
-    """Distinct canonical skills found in the text, code-point sorted, at most ``cap``.
+def skill_pattern() -> str:
+    return terms_pattern(V.SKILLS)
+
 
-    Null text gives an empty array."""
+def extract_terms(text: Column | str, terms, cap: int | None = None) -> Column:
+    """Distinct dictionary terms found in the text (whole words, any case), in
+    their dictionary spelling, code-point sorted, at most ``cap``; null text -> []."""
     text = _c(text)
-    canon = F.create_map(*[x for s in V.SKILLS for x in (F.lit(s.lower()), F.lit(s))])
-    found = F.regexp_extract_all(text, F.lit(java(skill_pattern(), ignore_case=True)), 1)
+    canon = F.create_map(*[x for s in terms for x in (F.lit(s.lower()), F.lit(s))])
+    found = F.regexp_extract_all(text, F.lit(java(terms_pattern(terms), ignore_case=True)), 1)
     canonical = F.transform(found, lambda m: F.coalesce(canon[F.lower(m)], m))
-    skills = F.slice(F.array_sort(F.array_distinct(canonical)), 1, cap)
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(skills)
+    out = F.array_sort(F.array_distinct(canonical))
+    if cap is not None:
+        out = F.slice(out, 1, cap)
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(out)
+
+
+def extract_skills(text: Column | str, cap: int = V.SKILLS_MAX) -> Column:
+    """C-03: the skill dictionary through :func:`extract_terms` (at most 15)."""
+    return extract_terms(text, V.SKILLS, cap)
 
 
 def skills_text(skills: Column | str) -> Column:
