@@ -31,3 +31,24 @@ def map_lookup(key: Column, mapping: dict[str, str], default: Column | None = No
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     value = m[key]
     return value if default is None else F.coalesce(value, default)
+
+
+def classify_by_distinct(df: DataFrame, key: str, outputs: dict, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Add ``outputs`` (name -> function of the key column), computing each
+    distinct key once.
+
+    Titles and places repeat heavily, so the distinct keys are counted first
+    (a partial aggregation). Under the bound the rules run on the distinct keys
+    only and the small result is broadcast back (the big side is not
+    shuffled); above it every row is classified in place."""
+    from ..session import materialize
+
+    keys = df.select(key).distinct()
+    n = keys.count()
+    if n > max_rows:
+        return df.withColumns({name: fn(F.col(key)) for name, fn in outputs.items()})
+    table = materialize(keys.select(F.col(key).alias("_ck"),
+                                    *[fn(F.col(key)).alias(name) for name, fn in outputs.items()]),
+                        "classified-keys")
+    base = df.drop(*[o for o in outputs if o in df.columns and o != key])
+    return base.join(F.broadcast(table), base[key].eqNullSafe(table["_ck"]), "left").drop("_ck")

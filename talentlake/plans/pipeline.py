@@ -20,7 +20,7 @@ from ..operators.dedup import dedup_by_hash, dedup_by_title_link
 from ..operators.salary import clean_salaries
 from ..sources.keyed_table import insert_ignore
 from ..sources.landing import conform, load_sources
-from .stages import landing_order, merge_stage, transform_stage
+from .stages import DISTINCT_FIRST_MIN_ROWS, landing_order, merge_stage, transform_stage
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -80,7 +80,9 @@ def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str
     landed = spark.read.parquet(f"{run_dir}/landed")
     merge_stage(landed).write.mode("overwrite").parquet(f"{run_dir}/merged")
     merged = spark.read.parquet(f"{run_dir}/merged")
-    transform_stage(merged, run_date=run_date).write.mode("overwrite").parquet(f"{run_dir}/transformed")
+    big = merged.count() >= DISTINCT_FIRST_MIN_ROWS          # Parquet footers: no scan
+    transform_stage(merged, run_date=run_date, distinct_first=big) \
+        .write.mode("overwrite").parquet(f"{run_dir}/transformed")
     transformed = spark.read.parquet(f"{run_dir}/transformed")
     written = insert_ignore(transformed, table_path)
     report = {(r.stage, r.source): r.n for r in run_report(landed, merged).collect()}

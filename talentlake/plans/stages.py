@@ -21,6 +21,8 @@ from ..functions import text as T
 from ..operators.dedup import dedup_by_hash, dedup_by_title_link, source_rank
 from ..operators.quality import clean_merged, finalize_transformed, it_filter
 from ..operators.salary import clean_salaries, impute_salaries
+from ..session import materialize
+from ..operators.joins import classify_by_distinct
 from ..sources.landing import conform
 
 
@@ -37,20 +39,40 @@ def merge_stage(landed: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:
     return it_filter(df)
 
 
-def enrich(df: DataFrame) -> DataFrame:
-    """C-02..C-06: the five enrichment columns (region is overwritten in place)."""
+def enrich(df: DataFrame, distinct_first: bool = False) -> DataFrame:
+    """C-02..C-06: the five enrichment columns (region is overwritten in place).
+
+    With ``distinct_first`` the title and place rules run once per distinct
+    value (see ``classify_by_distinct``); descriptions are mostly unique, so
+    skills and contract types are always computed per row."""
     skills = T.extract_skills("description")
-    return df.withColumns({
-        "titre_normalise": T.normalise_title("titre"),
+    per_row = {
         "competences": skills,
         "competences_extraites": T.skills_text(skills),
-        "region": T.standardise_region("lieu"),
-        "pays": T.standardise_country("lieu"),
         "contrat_type": T.detect_contract("titre", "description", "tags"),
-    })
+    }
+    if not distinct_first:
+        return df.withColumns({
+            "titre_normalise": T.normalise_title("titre"),
+            "region": T.standardise_region("lieu"),
+            "pays": T.standardise_country("lieu"),
+            **per_row,
+        })
+    out = classify_by_distinct(df, "titre", {"titre_normalise": T.normalise_title})
+    out = classify_by_distinct(out, "lieu", {"region": T.standardise_region, "pays": T.standardise_country})
+    return out.withColumns(per_row)
+
+
+# Above this many merged rows, title and place rules run once per distinct value.
+DISTINCT_FIRST_MIN_ROWS = 2_000_000
 
 
-def transform_stage(merged: DataFrame, run_date: str | None = None, **median_kw) -> DataFrame:
+def transform_stage(merged: DataFrame, run_date: str | None = None, distinct_first: bool = False,
+                    **median_kw) -> DataFrame:
+    """Enrich, impute, clean. With ``distinct_first`` the input is written once
+    first, since the distinct-key counts and the classification read it again."""
     run_date = run_date or date.today().isoformat()
-    df = impute_salaries(enrich(merged), **median_kw)
+    if distinct_first:
+        merged = materialize(merged, "merged")
+    df = impute_salaries(enrich(merged, distinct_first=distinct_first), **median_kw)
     return finalize_transformed(df, run_date)

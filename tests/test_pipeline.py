@@ -79,3 +79,12 @@ def test_every_query_has_whole_table_sql(spark):
     qs, sql = catalog.QUERIES, catalog.SQL
     assert set(sql) <= set(qs)
     assert {"text_recommend", "cv_match"} == set(qs) - set(sql)
+
+
+def test_distinct_first_classification_matches_per_row(spark):
+    from talentlake.plans.stages import enrich, merge_stage
+    merged = merge_stage(TD.postings(spark, SF_SMALL))
+    cols = ["hash_id", "titre_normalise", "region", "pays", "contrat_type", "competences_extraites"]
+    a = sorted(enrich(merged, distinct_first=False).select(*cols).collect())
+    b = sorted(enrich(merged, distinct_first=True).select(*cols).collect())
+    assert a == b and len(a) > 0
