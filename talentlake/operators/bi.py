@@ -48,10 +48,10 @@ def total_count(df: DataFrame) -> DataFrame:
 
 
 # A-02 / A-26 (v_stats_sources)
-def count_by(df: DataFrame, key: str, out: str = "n") -> DataFrame:
-    """value_counts: null keys dropped, count descending (ties by key)."""
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(out))
-            .orderBy(F.desc(out), key))
+def count_by(df: DataFrame, key: str, out: str = "n", ordered: bool = True) -> DataFrame:
+    """value_counts: null keys dropped, count descending (ties by key) when ``ordered``."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(out))
+    return counts.orderBy(F.desc(out), key) if ordered else counts
 
 
 def stats_sources(df: DataFrame) -> DataFrame:
@@ -64,11 +64,12 @@ def source_label(source: Column) -> Column:
     return map_lookup(F.lower(py_strip(source)), V.SOURCE_LABELS, source)
 
 
-def count_by_label(df: DataFrame) -> DataFrame:
+def count_by_label(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Counts per source display label, aliases merged (count first, relabel the few groups)."""
-    per_source = count_by(df, "source")
-    return (per_source.withColumn("label", source_label(F.col("source")))
-            .groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label"))
+    per_source = count_by(df, "source", ordered=False)
+    out = (per_source.withColumn("label", source_label(F.col("source")))
+           .groupBy("label").agg(F.sum("n").alias("n")))
+    return out.orderBy(F.desc("n"), "label") if ordered else out
 
 
 # A-04
@@ -84,7 +85,7 @@ def stats_report(df: DataFrame, model_name: str) -> DataFrame:
     """One row: total, sources (label -> count, as JSON), last_update, model."""
     # The label table has one row per distinct source (a handful), so gathering
     # it into one map is bounded; it enters the report as a scalar subquery.
-    labels = count_by_label(df)
+    labels = count_by_label(df, ordered=False)
     sources = labels.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("label", "n")))))).scalar()
     return df.agg(F.count("*").alias("total"), sources.alias("sources"), last_update(df).alias("last_update"),
@@ -184,7 +185,7 @@ def contracts_by_source(view: DataFrame, types: Sequence[str] = ("CDI", "CDD"))
 # A-23
 def source_summary(df: DataFrame) -> DataFrame:
     """'source : n' lines joined by newline, largest first (one row)."""
-    per = stats_sources(df).select(F.concat_ws(" : ", "source", F.col("total_offres").cast("string")).alias("line"),
+    per = count_by(df, "source", "total_offres", ordered=False).select(F.concat_ws(" : ", "source", F.col("total_offres").cast("string")).alias("line"),
                                    "total_offres", "source")
     return per.agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY total_offres DESC, source)")
                    .alias("resume_sources"))
