@@ -94,7 +94,12 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
         df = fresh_only(df, run_date)
     # Landing order: Spark numbers rows by input split, splits follow file offsets.
     df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
-    if df.isEmpty():
+    try:
+        empty = df.isEmpty()
+    except Exception as e:  # noqa: BLE001 - a file that only fails once read is unreadable too
+        log.warning("source %s skipped: unreadable (%s)", name, str(e).splitlines()[0][:200])
+        return None
+    if empty:
         log.warning("source %s skipped: empty or stale", name)
         return None
     return backfill_hash(tag_source(df, name))
