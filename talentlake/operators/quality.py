@@ -47,9 +47,14 @@ def truncate_fields(df: DataFrame) -> DataFrame:
     })
 
 
+def is_it_title(col: str = "titre"):
+    """F-05 predicate: the title matches the IT pattern (case-insensitive); null -> false."""
+    return F.coalesce(F.col(col).rlike(java(V.IT_TITLE_PATTERN, ignore_case=True)), F.lit(False))
+
+
 def it_filter(df: DataFrame, col: str = "titre") -> DataFrame:
-    """F-05: keep titles matching the IT pattern (case-insensitive); null titles drop."""
-    return df.where(F.coalesce(F.col(col).rlike(java(V.IT_TITLE_PATTERN, ignore_case=True)), F.lit(False)))
+    """F-05: keep titles matching the IT pattern; null titles drop."""
+    return df.where(is_it_title(col))
 
 
 def is_it_keyword(col: str = "job_title", keywords: Sequence[str] = tuple(V.IT_KEYWORDS)):

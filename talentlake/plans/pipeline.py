@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..operators.dedup import dedup_by_hash, dedup_by_title_link
+from ..operators.quality import clean_merged, is_it_title
+from ..session import materialize
 from ..operators.salary import clean_salaries
 from ..sources.keyed_table import insert_ignore
 from ..sources.landing import conform, load_sources
@@ -29,19 +31,26 @@ def _count(df: DataFrame, name: str) -> DataFrame:
 
 # A-12
 def merge_report(landed: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:
-    """Rows before/after deduplication, removed, after the IT filter, and per source."""
+    """Rows before/after deduplication, removed, before/after the IT filter, and per source.
+
+    The deduplicated rows (the two shuffles) are written once; every count is a
+    small aggregate over that file or over the landed scan."""
     order = landing_order(seq_col)
     conformed = clean_salaries(conform(landed, keep=(seq_col,)))
-    deduped = dedup_by_title_link(dedup_by_hash(conformed, order), order)
-    merged = merge_stage(landed, seq_col)
-    after = deduped.agg(F.count(F.lit(1))).scalar()
-    removed = conformed.agg(F.count(F.lit(1)).alias("b")).select(F.lit("dedup_removed").alias("metric"),
-                                                                 (F.col("b") - after).alias("n"))
-    per_source = (merged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-                  .select(F.concat(F.lit("source:"), "source").alias("metric"), "n"))
-    return (_count(conformed, "dedup_before").unionByName(_count(deduped, "dedup_after"))
-            .unionByName(removed).unionByName(_count(deduped, "filter_before"))
-            .unionByName(_count(merged, "filter_after")).unionByName(per_source))
+    deduped = materialize(dedup_by_title_link(dedup_by_hash(conformed, order), order), "merge-deduped")
+    flagged = clean_merged(deduped).withColumn("_it", is_it_title("titre"))
+    per_source = flagged.groupBy("source").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_it").alias("_kept"))
+    before = conformed.agg(F.count(F.lit(1))).scalar()
+    totals = per_source.agg(F.sum("_all").alias("a"), F.sum("_kept").alias("k")).select(
+        F.explode(F.array(
+            F.struct(F.lit("dedup_before").alias("metric"), before.alias("n")),
+            F.struct(F.lit("dedup_after").alias("metric"), F.coalesce("a", F.lit(0)).alias("n")),
+            F.struct(F.lit("dedup_removed").alias("metric"), (before - F.coalesce("a", F.lit(0))).alias("n")),
+            F.struct(F.lit("filter_before").alias("metric"), F.coalesce("a", F.lit(0)).alias("n")),
+            F.struct(F.lit("filter_after").alias("metric"), F.coalesce("k", F.lit(0)).alias("n")))).alias("m"))
+    by_source = (per_source.where(F.col("source").isNotNull() & (F.col("_kept") > 0))
+                 .select(F.concat(F.lit("source:"), "source").alias("metric"), F.col("_kept").alias("n")))
+    return totals.select("m.metric", F.col("m.n").cast("long").alias("n")).unionByName(by_source)
 
 
 # A-28
