@@ -107,6 +107,29 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
     return vals_at.groupBy(*keys).agg((F.lit(0.5) * a + F.lit(0.5) * b).alias(alias))
 
 
+def group_and_overall_medians(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median",
+                              max_in_memory: int = DEFAULT_MAX_IN_MEMORY, **kw) -> tuple[DataFrame, float | None]:
+    """Per-group medians (written once) and the median of all values.
+
+    One job sizes both the largest group and the whole column. When both fit
+    the in-memory bound, a single GROUPING SETS aggregation yields the group
+    medians and the overall one together; otherwise each goes through
+    :func:`exact_median` (rank selection when too large)."""
+    keys = list(keys)
+    vals = _values(df, keys, value)
+    sized = vals.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("big"), F.sum("_n").alias("all"))
+    row = sized.first()
+    largest, total = (row["big"] or 0), (row["all"] or 0)
+    if total <= max_in_memory:
+        both = materialize(vals.groupingSets([keys, []], *keys)
+                           .agg(F.median("_v").alias(alias), F.grouping_id().alias("_gid")), "medians")
+        overall_row = both.where(F.col("_gid") != 0).select(alias).first()
+        groups = both.where(F.col("_gid") == 0).drop("_gid")
+        return groups, (None if overall_row is None else overall_row[0])
+    groups = materialize(exact_median(df, keys, value, alias, max_in_memory=max_in_memory, **kw), "medians")
+    return groups, global_median(df, value, max_in_memory=max_in_memory, **kw)
+
+
 def global_median(df: DataFrame, value: str, **kw) -> float | None:
     """Exact median of a whole column, as one scalar."""
     row = exact_median(df.withColumn("_all", F.lit(1)), ["_all"], value, alias="m", **kw).first()

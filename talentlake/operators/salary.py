@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_double
 from ..functions.salary import bound_max, bound_min, row_mean, salary_estimate
-from .aggregate import exact_median, global_median
+from .aggregate import group_and_overall_medians
 from ..session import materialize
 from .joins import attach_small
 
@@ -43,9 +43,8 @@ def impute_salaries(df: DataFrame, keys: Sequence[str] = ("secteur", "contrat_ty
     # Several passes read the estimates (group stats, medians, global median, the
     # fill itself): write them once instead of recomputing the upstream plan.
     est = materialize(estimate_salaries(df), "salary-estimates")
-    medians = materialize(exact_median(est, keys, value, alias="_group_median", **median_kw), "group-medians")
-    n_groups = medians.count()
-    overall = global_median(est, value, **median_kw)
+    medians, overall = group_and_overall_medians(est, keys, value, alias="_group_median", **median_kw)
+    n_groups = medians.count()                      # the written group table: footer metadata
     filled = attach_small(est, medians, keys, n_groups, how="left")
     fill = F.coalesce(F.col(value), F.col("_group_median"), F.lit(overall).cast("double"))
     return filled.withColumn(value, fill).drop("_group_median").select(*est.columns)

@@ -117,3 +117,15 @@ def test_month_over_month_blank_previous_month(spark):
     assert rows["2024-01-01"] is None         # no previous month
     assert rows["2024-02-01"] == -100.0       # empty month counts 0
     assert rows["2024-03-01"] is None         # previous month is 0
+
+
+def test_group_and_overall_medians_both_paths(spark):
+    from talentlake.operators.aggregate import group_and_overall_medians
+    o = spark.read.parquet(f"{SF_MID}/orders.parquet")
+    keys = ["o_orderstatus"]
+    want = {r[0]: r[1] for r in o.groupBy(*keys).agg(F.median("o_totalprice")).collect()}
+    want_all = o.agg(F.median("o_totalprice")).first()[0]
+    for kw in ({}, {"max_in_memory": 100, "bins": 8, "small": 50}):
+        groups, overall = group_and_overall_medians(o, keys, "o_totalprice", alias="m", **kw)
+        assert {r[0]: r[1] for r in groups.collect()} == want
+        assert overall == want_all
