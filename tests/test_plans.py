@@ -30,3 +30,16 @@ def test_source_count_entry(spark):
     rows = E.entry(spark).collect()
     assert rows and all(r.n > 0 for r in rows)
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_top_k_merge_is_a_group_limit_and_fill_is_broadcast(spark):
+    p = plan(catalog.QUERIES["cosine_topk"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p and "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    t = plan(catalog.QUERIES["salary_impute"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in t and "SortMergeJoin" not in t
+
+
+def test_reports_have_no_nested_loop_joins(spark):
+    for name in ["stats_report", "mtd", "merge_report", "run_report", "contract_split", "mom_growth"]:
+        p = plan(catalog.QUERIES[name](spark, SF_SMALL))
+        assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
