@@ -320,5 +320,4 @@ SKILL_SHARE_BARS = {
     "has_cloud": "Cloud",
     "has_devops": "DevOps",
 }
-CONTRACT_SPLIT_TYPES = ["CDI", "CDD", "Freelance"]
 TOP_CITIES = 20

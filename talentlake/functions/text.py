@@ -47,10 +47,6 @@ def terms_pattern(terms) -> str:
     return r"\b(" + "|".join(escape_literal(t) for t in ordered) + r")\b"
 
 
-def skill_pattern() -> str:
-    return terms_pattern(V.SKILLS)
-
-
 def extract_terms(text: Column | str, terms, cap: int | None = None) -> Column:
     """Distinct dictionary terms found in the text (whole words, any case), in
     their dictionary spelling, code-point sorted, at most ``cap``; null text -> []."""

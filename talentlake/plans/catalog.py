@@ -215,8 +215,9 @@ def q_dedup_title_link(spark, sf_dir):
     "SELECT ingest_seq FROM (SELECT *, row_number() OVER (PARTITION BY titre, entreprise ORDER BY "
     "ingest_seq) AS rn FROM postings WHERE source = 'arbeitnow') WHERE rn = 1"))
 def q_dedup_title_company(spark, sf_dir):
+    from ..operators.dedup import dedup_by_title_company
     arbeitnow = P(spark, sf_dir).where(F.col("source") == "arbeitnow")
-    return keep_first(arbeitnow, ["titre", "entreprise"], ["ingest_seq"]).select("ingest_seq")
+    return dedup_by_title_company(arbeitnow, ["ingest_seq"]).select("ingest_seq")
 
 
 @register("null_clean", O.with_postings(

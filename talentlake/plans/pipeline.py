@@ -25,10 +25,6 @@ from ..sources.landing import conform, load_sources
 from .stages import DISTINCT_FIRST_MIN_ROWS, landing_order, merge_stage, transform_stage
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
-
-
 # A-12
 def merge_report(landed: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:
     """Rows before/after deduplication, removed, before/after the IT filter, and per source.

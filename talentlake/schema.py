@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import (ArrayType, BooleanType, DateType, DoubleType, FloatType, LongType,
+from pyspark.sql.types import (ArrayType, BooleanType, DateType, DoubleType, LongType,
                                StringType, StructField, StructType)
 
 from .functions.fixed import CANONICAL_COLUMNS
@@ -69,6 +69,3 @@ ARBEITNOW_PAYLOAD = _struct(data=ArrayType(_struct(
 LINKEDIN_POSTINGS = _struct(job_title=S, company=S, job_location=S, job_link=S, job_type=S,
                             job_level=S, search_country=S, first_seen=S, search_position=S)
 LINKEDIN_SKILLS = _struct(job_link=S, job_skills=S)
-
-EMBEDDING_CORPUS = StructType([StructField("hash_id", StringType(), False),
-                               StructField("embedding", ArrayType(FloatType()), True)])

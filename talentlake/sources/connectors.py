@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import fixed as V
 from ..functions import text as T
-from ..functions.coerce import first_or_default, posting_hash
+from ..functions.coerce import first_or_default, list_join, posting_hash
 from ..functions.salary import parse_salary_label
-from ..operators.dedup import keep_first
+from ..operators.dedup import dedup_by_title_company, keep_first
 from ..operators.joins import map_lookup
 from ..operators.quality import is_it_keyword
 
@@ -57,8 +57,8 @@ def flatten_france_travail(raw: DataFrame, run_date: str, search_col: str = "sea
     label = _d(job["salaire"]["libelle"], "")
     sal = parse_salary_label(label)
     comps = F.coalesce(job["competences"], F.array().cast("array<struct<libelle:string>>"))
-    tags = F.array_join(F.transform(F.slice(comps, 1, V.FRANCE_TRAVAIL_COMPETENCES_MAX),
-                                    lambda c: F.coalesce(c["libelle"], F.lit(""))), ", ")
+    tags = list_join(F.transform(F.slice(comps, 1, V.FRANCE_TRAVAIL_COMPETENCES_MAX),
+                                 lambda c: F.coalesce(c["libelle"], F.lit(""))))
     place = job["lieuTravail"]["libelle"]
     desc = _d(job["description"], "N/A")
     out = j.select(
@@ -155,9 +155,9 @@ def flatten_arbeitnow(raw: DataFrame, run_date: str, dedup: bool = True) -> Data
         F.coalesce(job["remote"], F.lit(False)).alias("remote"),
         F.substring(_d(job["description"], "N/A"), 1, V.ARBEITNOW_DESCRIPTION_MAX).alias("description"),
         _d(job["url"], "N/A").alias("lien"),
-        F.coalesce(F.array_join(job["tags"], ", "), F.lit("")).alias("tags"), "ingest_seq")
+        F.coalesce(list_join(job["tags"]), F.lit("")).alias("tags"), "ingest_seq")
     out = _finish(out, "arbeitnow", run_date)
-    return keep_first(out, ["titre", "entreprise"], ["ingest_seq"]) if dedup else out
+    return dedup_by_title_company(out, ["ingest_seq"]) if dedup else out
 
 
 # S-08 (+ F-06, J-01, C-23)

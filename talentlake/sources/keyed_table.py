@@ -85,6 +85,3 @@ def insert_ignore(batch: DataFrame, path: str, key: str | Sequence[str] = "hash_
     total = spark.read.parquet(path).count()
     return {"attempted": seen.get["n"], "inserted": added.get["n"], "total": total}
 
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

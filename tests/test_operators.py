@@ -129,3 +129,12 @@ def test_group_and_overall_medians_both_paths(spark):
         groups, overall = group_and_overall_medians(o, keys, "o_totalprice", alias="m", **kw)
         assert {r[0]: r[1] for r in groups.collect()} == want
         assert overall == want_all
+
+
+def test_union_sources_conforms_and_tags(spark):
+    a = spark.createDataFrame([("Data Engineer", "A", "l1", 0)], "titre string, entreprise string, lien string, ingest_seq long")
+    b = spark.createDataFrame([("h", "ML Engineer", 1.5, 1)], "hash_id string, titre string, salaire_min double, ingest_seq long")
+    out = L.union_sources({"arbeitnow": a, "serpapi": b})
+    rows = {r.source: r for r in out.collect()}
+    assert set(rows) == {"arbeitnow", "serpapi"} and len(out.columns) == 24
+    assert len(rows["arbeitnow"].hash_id) == 16 and rows["serpapi"].salaire_min == 1.5
