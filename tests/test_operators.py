@@ -138,3 +138,20 @@ def test_union_sources_conforms_and_tags(spark):
     rows = {r.source: r for r in out.collect()}
     assert set(rows) == {"arbeitnow", "serpapi"} and len(out.columns) == 24
     assert len(rows["arbeitnow"].hash_id) == 16 and rows["serpapi"].salaire_min == 1.5
+
+
+def test_hot_key_holding_a_third_of_rows(spark, tmpdir_path):
+    """One key carries a third of the rows: keep-first, the bounded median and the sink stay exact."""
+    o = spark.read.parquet(f"{SF_MID}/orders.parquet")
+    hot = o.withColumn("k", F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("o_custkey")))
+    n_hot = hot.where("k = -1").count()
+    assert n_hot * 3 >= hot.count() - 3
+    first = keep_first(hot, ["k"], ["o_orderkey"]).where("k = -1").first()
+    assert first.o_orderkey == hot.where("k = -1").agg(F.min("o_orderkey")).first()[0]
+    want = {r[0]: r[1] for r in hot.groupBy("k").agg(F.median("o_totalprice")).where("k = -1").collect()}
+    got = {r[0]: r[1] for r in exact_median(hot, ["k"], "o_totalprice", max_in_memory=1000, bins=64,
+                                            small=200).where("k = -1").collect()}
+    assert got == want
+    path = os.path.join(tmpdir_path, "hot")
+    res = K.insert_ignore(hot.select("k", "o_orderkey"), path, key="k", order_by=["o_orderkey"], typed=False)
+    assert res["inserted"] == hot.select("k").distinct().count()
