@@ -176,6 +176,13 @@ def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: st
     if skills is not None:
         sk_order = F.col(skills_order_col) if skills_order_col else F.monotonically_increasing_id()
         sk = skills.select(F.col("job_link").alias("_sk_link"), "job_skills", sk_order.alias("_sk_seq"))
+        # Every row a posting fans out to carries that posting's hash, and the
+        # keep-first below prefers the earliest skills row; so only the first
+        # skills row of each link can survive. Keeping just that row makes the
+        # join N:1 - the same result without emitting all pairs inside a key
+        # (the null link, which matches null, would otherwise pair every
+        # link-less posting with every link-less skills row).
+        sk = keep_first(sk, ["_sk_link"], ["_sk_seq"])
         p = p.join(sk, p["job_link"].eqNullSafe(sk["_sk_link"]), "left").drop("_sk_link")
     else:
         p = p.withColumn("job_skills", F.lit(None).cast("string")).withColumn("_sk_seq", F.lit(0).cast("long"))
