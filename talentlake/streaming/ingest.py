@@ -9,6 +9,7 @@ location, under the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,9 @@ def start_ingest(spark: SparkSession, landing: str, table: str, schema: StructTy
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         insert_ignore(batch, table, key=key, order_by=order_by, typed=typed)
 
-    checkpoint = checkpoint or shared_path(spark, f"ingest-checkpoint-{abs(hash((landing, table)))}")
+    # Stable across processes: a rerun resumes from the recorded progress.
+    digest = hashlib.sha1(f"{landing}|{table}".encode()).hexdigest()[:16]
+    checkpoint = checkpoint or shared_path(spark, f"ingest-checkpoint-{digest}")
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
