@@ -58,11 +58,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
+    """A path for this application's intermediate tables (under the shared
+    checkpoint folder, in Spark's per-application subfolder)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
 
 
+def durable_path(spark: SparkSession, name: str) -> str:
+    """A path for state that must outlive the application (streaming progress),
+    directly under the configured ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{name}"
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..session import shared_path
+from ..session import durable_path
 from ..sources.keyed_table import insert_ignore
 
 
@@ -36,7 +36,7 @@ def start_ingest(spark: SparkSession, landing: str, table: str, schema: StructTy
 
     # Stable across processes: a rerun resumes from the recorded progress.
     digest = hashlib.sha1(f"{landing}|{table}".encode()).hexdigest()[:16]
-    checkpoint = checkpoint or shared_path(spark, f"ingest-checkpoint-{digest}")
+    checkpoint = checkpoint or durable_path(spark, f"ingest-checkpoint-{digest}")
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
