@@ -13,7 +13,10 @@ in one task. Here the median is found by rank selection instead:
    candidates are ranked exactly.
 
 Every step's per-group state is bounded by ``bins`` (or ``small``) rows, no
-matter how large the group. When the stats pass proves every group is small
+matter how large the group. Buckets are equal-width, which keeps them
+contiguous value ranges under floating-point rounding; each pass shrinks an
+interval's width by at least ``bins``x, so values within a few orders of
+magnitude (salaries, prices) resolve in one to three passes. When the stats pass proves every group is small
 (``<= max_in_memory`` values) the single-pass ``F.median`` is used instead;
 both paths give the same value (linear interpolation ``0.5*a + 0.5*b``).
 Null keys and null/NaN values are ignored, like pandas' ``groupby().median()``.
