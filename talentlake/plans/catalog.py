@@ -339,12 +339,11 @@ def loaded_postings(spark, sf_dir) -> DataFrame:
     views over its database table, not a re-run of the ETL). Built by the merge and
     transform stages once per application and input folder, written to the shared
     folder, then read back by every report."""
-    from ..session import materialize, path_exists
+    from ..session import path_exists, write_shared
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _LOADED.get(key)
     if path is None or not path_exists(spark, path):
-        table = materialize(transformed_df(spark, sf_dir), "loaded-postings")
-        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        path = write_shared(transformed_df(spark, sf_dir), "loaded-postings")
         _LOADED[key] = path
     return spark.read.parquet(path)
 

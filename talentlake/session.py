@@ -72,16 +72,21 @@ def durable_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+def write_shared(df, name: str) -> str:
+    """Write ``df`` as Parquet to a fresh folder under the shared checkpoint folder."""
+    import uuid
+
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
     upstream plan) and gives later passes a columnar, prunable input."""
-    import uuid
-
-    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(write_shared(df, name))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
