@@ -88,3 +88,14 @@ def test_distinct_first_classification_matches_per_row(spark):
     a = sorted(enrich(merged, distinct_first=False).select(*cols).collect())
     b = sorted(enrich(merged, distinct_first=True).select(*cols).collect())
     assert a == b and len(a) > 0
+
+
+def test_recommend_single_request(spark):
+    import pytest
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    probe = docs.orderBy("doc_id").first()
+    out = M.recommend_text(docs, probe.text, top_k=3, key_col="doc_id", project=["doc_id", "lang"]).collect()
+    assert [r["rank"] for r in out] == [1, 2, 3] and out[0].doc_id == probe.doc_id
+    assert out[0].score >= out[1].score >= out[2].score
+    with pytest.raises(ValueError):
+        M.recommend_text(docs, "   ", key_col="doc_id")
