@@ -13,10 +13,10 @@ in one task. Here the median is found by rank selection instead:
    candidates are ranked exactly.
 
 Every step's per-group state is bounded by ``bins`` (or ``small``) rows, no
-matter how large the group. Buckets are equal-width, which keeps them
-contiguous value ranges under floating-point rounding; each pass shrinks an
-interval's width by at least ``bins``x, so values within a few orders of
-magnitude (salaries, prices) resolve in one to three passes. When the stats pass proves every group is small
+matter how large the group. Buckets are contiguous value ranges: equal-width
+inside narrow intervals (each pass shrinks the width by ``bins``x), one per
+octave of magnitude for intervals spanning many orders of magnitude or zero,
+so heavy-tailed data also resolves in a few passes. When the stats pass proves every group is small
 (``<= max_in_memory`` values) the single-pass ``F.median`` is used instead;
 both paths give the same value (linear interpolation ``0.5*a + 0.5*b``).
 Null keys and null/NaN values are ignored, like pandas' ``groupby().median()``.
@@ -59,6 +59,27 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "m
     return _select_by_rank(vals, stats, keys, alias, bins, small)
 
 
+_OCTAVES = 12
+
+
+def _bucket(v, lo, hi, bins: int):
+    """Bucket of ``v`` inside ``[lo, hi]``; bucket order is value order.
+
+    Narrow intervals (one sign, at most 2**12 between the ends) use ``bins``
+    equal-width buckets. Wider ones use one bucket per octave of magnitude
+    (``floor(log2|v|)``, monotone, so buckets stay contiguous), which splits
+    heavy-tailed data in a pass or two before the equal-width passes."""
+    linear = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
+    octave = F.floor(F.log2(F.abs(v)))
+    magnitude = (F.when(v == float("-inf"), F.lit(0))
+                 .when(v < 0, F.lit(1075) - octave)
+                 .when(v == 0, F.lit(2200))
+                 .when(v == float("inf"), F.lit(4500))
+                 .otherwise(F.lit(3400) + octave))
+    narrow = ((lo > 0) & (hi <= lo * 2 ** _OCTAVES)) | ((hi < 0) & (lo >= hi * 2 ** _OCTAVES))
+    return F.when(narrow, linear).otherwise(magnitude).cast("int")
+
+
 def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: str,
                     bins: int, small: int) -> DataFrame:
     # One target per (group, which): which 0 -> rank (n-1) div 2, which 1 -> rank n div 2.
@@ -79,8 +100,7 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
         if n_open == 0:
             break
         j = attach_small(vals, open_, keys, n_open).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-                         F.lit(bins - 1)).cast("int")
+        bucket = _bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
         hist = (j.groupBy(*tkeys, bucket.alias("_b"))
                 .agg(F.count("*").alias("_bc"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
         w = Window.partitionBy(*tkeys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

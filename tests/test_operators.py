@@ -155,3 +155,15 @@ def test_hot_key_holding_a_third_of_rows(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "hot")
     res = K.insert_ignore(hot.select("k", "o_orderkey"), path, key="k", order_by=["o_orderkey"], typed=False)
     assert res["inserted"] == hot.select("k").distinct().count()
+
+
+def test_rank_selection_on_heavy_tailed_values(spark):
+    """Values spread over ~300 orders of magnitude, both signs, ties and zeros."""
+    base = spark.range(0, 20000).select(
+        (F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 7 == 0, F.lit(0.0))
+         .otherwise(F.pow(F.lit(10.0), (F.col("id") * 7919 % 600) / 2.0 - 150.0)
+                    * F.when(F.col("id") % 5 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))).alias("v"))
+    want = {r[0]: r[1] for r in base.groupBy("g").agg(F.median("v")).collect()}
+    got = {r[0]: r[1] for r in exact_median(base, ["g"], "v", max_in_memory=0, bins=16, small=40).collect()}
+    assert got == want
