@@ -170,6 +170,12 @@ def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: st
                      order_col: str = "ingest_seq", skills_order_col: str | None = None) -> DataFrame:
     """LinkedIn dump: IT keyword filter, left join of the skills file on job_link
     (null links match each other, as in pandas), canonical columns."""
+    # A column absent from the dump reads as its default (a present but empty
+    # cell reads 'nan', handled by _text below).
+    absent = {"job_title": "N/A", "company": V.DEFAULT_COMPANY, "job_location": "N/A", "job_link": "N/A",
+              "job_type": "N/A", "job_level": "N/A", "search_country": "N/A", "first_seen": "",
+              "search_position": V.LINKEDIN_DEFAULT_TAGS}
+    postings = postings.withColumns({c: F.lit(d) for c, d in absent.items() if c not in postings.columns})
     p = postings.where(is_it_keyword("job_title"))
     if order_col not in p.columns:
         p = p.withColumn(order_col, F.monotonically_increasing_id())

@@ -94,3 +94,10 @@ def test_linkedin(spark):
     assert (a.remote, a.description, a.region, a.date_creation, a.tags) == (True, "Python, SQL", "France",
                                                                              "2024-01-15", "data eng")
     assert (b.entreprise, b.lieu, b.description, b.tags) == ("Non spécifiée", "nan", "Excel", "nan")
+
+
+def test_linkedin_absent_columns_take_defaults(spark):
+    posts = spark.createDataFrame([("Data Engineer", "l1")], "job_title string, job_link string")
+    r = C.flatten_linkedin(posts, None, RUN).first()
+    assert (r.tags, r.entreprise, r.lieu, r.contrat, r.date_creation, r.description) == \
+        ("data", "Non spécifiée", "N/A", "N/A", "", None)
