@@ -76,6 +76,31 @@ def run_report(landed: DataFrame, merged: DataFrame, written: DataFrame | None =
     return out
 
 
+def run_connectors(spark: SparkSession, raw_paths: Mapping[str, str], out_dir: str, run_date: str,
+                   linkedin: tuple[str, str | None] | None = None) -> dict[str, str]:
+    """Stage 1 of the daily run: every connector flattens its landed payloads and
+    writes its per-source CSV (the files the merge stage loads). Returns the paths."""
+    from ..sources.connectors import CONNECTORS, flatten_linkedin, read_payloads
+    from ..sources.landing import read_csv, write_csv
+    from .. import schema as S
+
+    out = {}
+    for name, path in raw_paths.items():
+        schema, flatten = CONNECTORS[name]
+        df = flatten(read_payloads(spark, path, schema), run_date).drop("ingest_seq")
+        target = f"{out_dir}/{name}"
+        write_csv(df, target)
+        out[name] = target
+    if linkedin is not None:
+        posts_path, skills_path = linkedin
+        posts = read_csv(spark, posts_path, S.LINKEDIN_POSTINGS)
+        skills = read_csv(spark, skills_path, S.LINKEDIN_SKILLS) if skills_path else None
+        target = f"{out_dir}/kaggle_linkedin"
+        write_csv(flatten_linkedin(posts, skills, run_date).drop("ingest_seq"), target)
+        out["kaggle_linkedin"] = target
+    return out
+
+
 def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str, table_path: str,
               run_date: str | None = None) -> dict:
     """One daily run: load every landed source, merge, transform, insert-ignore; returns the run report."""

@@ -99,3 +99,31 @@ def test_recommend_single_request(spark):
     assert out[0].score >= out[1].score >= out[2].score
     with pytest.raises(ValueError):
         M.recommend_text(docs, "   ", key_col="doc_id")
+
+
+def test_connectors_to_table(spark, tmpdir_path):
+    import json
+    from talentlake.plans.pipeline import run_connectors
+    raw = os.path.join(tmpdir_path, "raw", "ft", "search=data engineer")
+    os.makedirs(raw)
+    with open(os.path.join(raw, "page-0000.json"), "w", encoding="utf-8") as f:
+        json.dump({"resultats": [
+            {"intitule": "Data Engineer (H/F)", "entreprise": {"nom": "Acme"}, "origineOffre": {"urlOrigine": "u1"},
+             "salaire": {"libelle": "Annuel de 40000 Euros à 50000 Euros"}, "lieuTravail": {"libelle": "69 - Lyon"},
+             "description": "Python et Spark sur AWS, CDI", "dateCreation": "2026-04-20T00:00:00Z"},
+            {"intitule": "Boulanger", "entreprise": {"nom": "B"}, "origineOffre": {"urlOrigine": "u2"}}]}, f)
+    posts = os.path.join(tmpdir_path, "raw", "li_posts.csv")
+    with open(posts, "w", encoding="utf-8") as f:
+        f.write("job_title,company,job_location,job_link,job_type,job_level,search_country,first_seen,search_position\n"
+                "Senior Data Analyst,Globex,Paris,l9,Hybrid,Mid,France,2026-04-01,data analyst\n")
+    csvs = run_connectors(spark, {"france_travail": os.path.join(tmpdir_path, "raw", "ft")},
+                          os.path.join(tmpdir_path, "csv"), "2026-04-26", linkedin=(posts, None))
+    table = os.path.join(tmpdir_path, "table")
+    out = run_daily(spark, csvs, os.path.join(tmpdir_path, "run"), table, run_date="2026-04-26")
+    rows = {r.titre: r for r in spark.read.parquet(table).collect()}
+    assert set(rows) == {"Data Engineer (H/F)", "Senior Data Analyst"}      # the baker fails the IT filter
+    de = rows["Data Engineer (H/F)"]
+    assert (de.titre_normalise, de.region, de.contrat_type, de.salaire_annuel_estime) == \
+        ("Data Engineer", "Auvergne-Rhône-Alpes", "CDI", 45000.0)
+    assert de.competences == ["AWS", "Python", "Spark"]
+    assert out["report"][("raw", "france_travail")] == 2
