@@ -127,3 +127,8 @@ def test_connectors_to_table(spark, tmpdir_path):
         ("Data Engineer", "Auvergne-Rhône-Alpes", "CDI", 45000.0)
     assert de.competences == ["AWS", "Python", "Spark"]
     assert out["report"][("raw", "france_travail")] == 2
+    from talentlake.operators import bi
+    view = bi.dashboard_view(spark.read.parquet(table))
+    shares = {r.skill: r.pct for r in bi.skill_shares(view).collect()}
+    assert shares["Python"] == 50.0 and shares["Cloud"] == 50.0
+    assert bi.month_over_month(view).count() >= 1
