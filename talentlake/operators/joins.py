@@ -43,12 +43,10 @@ def classify_by_distinct(df: DataFrame, key: str, outputs: dict, max_rows: int =
     shuffled); above it every row is classified in place."""
     from ..session import materialize
 
-    keys = df.select(key).distinct()
-    n = keys.count()
+    keys = materialize(df.select(key).distinct(), "distinct-keys")    # one pass over the input
+    n = keys.count()                                                  # file metadata
     if n > max_rows:
         return df.withColumns({name: fn(F.col(key)) for name, fn in outputs.items()})
-    table = materialize(keys.select(F.col(key).alias("_ck"),
-                                    *[fn(F.col(key)).alias(name) for name, fn in outputs.items()]),
-                        "classified-keys")
+    table = keys.select(F.col(key).alias("_ck"), *[fn(F.col(key)).alias(name) for name, fn in outputs.items()])
     base = df.drop(*[o for o in outputs if o in df.columns and o != key])
     return base.join(F.broadcast(table), base[key].eqNullSafe(table["_ck"]), "left").drop("_ck")
