@@ -1039,3 +1039,20 @@ def q_connector_serpapi(spark, sf_dir):
                    F.array(F.struct(F.col("lien").alias("link"))).alias("related_links"))
     raw = _landed(spark, sf_dir, "serpapi", "jobs_results", job, SCH.SERPAPI_PAYLOAD)
     return CN.flatten_serpapi(raw, RUN_DATE, dedup=False).select(*REM_COLS)
+
+
+# The large-scale paths under the same oracles: distinct-first classification and
+# rank-selection medians (forced here; chosen automatically on big inputs).
+@register("enrich_distinct", SQL["enrich"])
+def q_enrich_distinct(spark, sf_dir):
+    return enrich(merged_df(spark, sf_dir), distinct_first=True).select(
+        "hash_id", "titre_normalise", "competences_extraites", "region", "pays", "contrat_type")
+
+
+@register("salary_impute_orders_bounded", SQL["salary_impute_orders"])
+def q_salary_impute_orders_bounded(spark, sf_dir):
+    o = TD.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority",
+        (F.col("o_totalprice") / 4).alias("salaire_min"), F.col("o_totalprice").alias("salaire_max"))
+    df = impute_salaries(o, keys=("o_orderstatus", "o_orderpriority"), max_in_memory=0, bins=256, small=1000)
+    return df.select("o_orderkey", "salaire_annuel_estime")
