@@ -42,9 +42,19 @@ def normalise_title(titre: Column | str) -> Column:
 # --- C-03 skill extraction -----------------------------------------------------
 
 def terms_pattern(terms) -> str:
-    """Whole-word, case-insensitive alternation of literal terms, longest first."""
+    """Whole-word, case-insensitive alternation of literal terms, longest first.
+
+    Terms are grouped by their (case-folded) first character: at any position
+    only one group can match, and inside a group the longest-first order is
+    kept, so the matches are those of the flat alternation - but the regex
+    engine tries one group instead of every term at each position."""
     ordered = sorted(terms, key=len, reverse=True)
-    return r"\b(" + "|".join(escape_literal(t) for t in ordered) + r")\b"
+    groups: dict[str, list[str]] = {}
+    for t in ordered:
+        groups.setdefault(t[0].lower(), []).append(t)
+    parts = [escape_literal(first) + "(?:" + "|".join(escape_literal(t[1:]) for t in ts) + ")"
+             for first, ts in groups.items()]
+    return r"\b(" + "|".join(parts) + r")\b"
 
 
 def extract_terms(text: Column | str, terms, cap: int | None = None) -> Column:
