@@ -107,6 +107,14 @@ def contract_histogram(df: DataFrame) -> DataFrame:
     return count_by(df, "contrat_type")
 
 
+def contract_histogram_map(df: DataFrame) -> DataFrame:
+    """A-10 as one map {contract type: count}. Contract types come from the rule
+    table (six labels and the default), so the map has a fixed size bound."""
+    counts = count_by(df, "contrat_type", ordered=False)
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("contrat_type", "n"))))
+                      .alias("contrats"))
+
+
 # A-13 (v_top_competences)
 def skill_frequency(df: DataFrame) -> DataFrame:
     return (df.select(F.explode("competences").alias("competence"))

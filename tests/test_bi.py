@@ -59,3 +59,8 @@ def test_cities_contracts_and_months(spark):
     assert mtd == 2                                                    # 2024-03-01 and 2024-03-09
     cal = B.calendar(view).where(F.col("date") == dt.date(2024, 1, 7)).first()
     assert (cal.annee, cal.mois, cal.nom_mois, cal.trimestre, cal.semaine) == (2024, 1, "January 2024", "T1", 2)
+
+
+def test_contract_histogram_map(spark):
+    m = B.contract_histogram_map(frame(spark)).first().contrats
+    assert m == {"CDD": 1, "CDI": 3, "Stage": 1}
