@@ -92,8 +92,10 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
         return None
     if not static:
         df = fresh_only(df, run_date)
-    # Landing order: Spark numbers rows by input split, splits follow file offsets.
-    df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
+    # Landing order: file name first (crawlers name files in crawl order), then the
+    # row's position, numbered by input split (splits follow file offsets).
+    df = df.withColumn("ingest_seq", F.struct(F.col("_metadata.file_path").alias("file"),
+                                              F.monotonically_increasing_id().alias("pos")))
     try:
         empty = df.isEmpty()
     except Exception as e:  # noqa: BLE001 - a file that only fails once read is unreadable too

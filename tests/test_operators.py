@@ -167,3 +167,12 @@ def test_rank_selection_on_heavy_tailed_values(spark):
     want = {r[0]: r[1] for r in base.groupBy("g").agg(F.median("v")).collect()}
     got = {r[0]: r[1] for r in exact_median(base, ["g"], "v", max_in_memory=0, bins=16, small=40).collect()}
     assert got == want
+
+
+def test_landing_order_follows_file_names(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "src")
+    _write_csv(os.path.join(d, "b-second.csv"), "hash_id,titre\nk1,late\n" + "".join(f"x{i},pad\n" for i in range(200)))
+    _write_csv(os.path.join(d, "a-first.csv"), "hash_id,titre\nk1,early\n")
+    df = L.load_source(spark, "kaggle_linkedin", d, run_date="2000-01-01")
+    first = keep_first(df, ["hash_id"], ["ingest_seq"]).where("hash_id = 'k1'").first()
+    assert first.titre == "early"
