@@ -11,6 +11,7 @@ key, as the original crawlers did.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,16 @@ def read_payloads(spark: SparkSession, path: str, schema, one_per_file: bool = T
 
 
 def _jobs(raw: DataFrame, array_col: str, search_col: str | None) -> DataFrame:
+    """One row per result, ``ingest_seq`` = (file, response, position in the response)."""
     search = F.col(search_col) if search_col and search_col in raw.columns else F.lit(None).cast("string")
-    out = raw.select(search.alias("_search"), F.explode(array_col).alias("job"))
-    return out.withColumn("ingest_seq", F.monotonically_increasing_id())
+    try:
+        file_col = raw.select(F.col("_metadata.file_path")).columns and F.col("_metadata.file_path")
+    except AnalysisException:          # an in-memory frame has no file metadata
+        file_col = F.lit("")
+    docs = raw.select(search.alias("_search"), file_col.alias("_file"),
+                      F.monotonically_increasing_id().alias("_doc"), F.col(array_col).alias("_arr"))
+    out = docs.select("_search", "_file", "_doc", F.posexplode("_arr").alias("_pos", "job"))
+    return out.withColumn("ingest_seq", F.struct("_file", "_doc", "_pos")).drop("_file", "_doc", "_pos")
 
 
 def _d(c: Column, default: str) -> Column:
