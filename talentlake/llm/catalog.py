@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 SQL = {
+    "op1_warc": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
