@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_text import op9_html_text
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_html_text": op9_html_text,
 }
 
 SQL = {
