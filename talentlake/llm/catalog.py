@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
+from .mixing import OP7_SQL, op7_mixing
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op9_html_text": op9_html_text,
 }
 
 SQL = {
     "op1_warc": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_mixing": OP7_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,10 @@ def attach_by_key(rows: DataFrame, stats: DataFrame, key: str, count: str, total
     in_hot = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return in_hot.unionByName(rest.join(cold, key).select(in_hot.columns))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.lit(True))
+    return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
