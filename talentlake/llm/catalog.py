@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .mixing import OP7_SQL, op7_mixing
@@ -9,6 +10,7 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op9_html_text": op9_html_text,
@@ -16,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op1_warc": OP1_SQL,
+    "op5_decontaminate": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }

@@ -15,8 +15,14 @@ HOT_KEYS = 1000
 """A key is hot when it holds at least 1/HOT_KEYS of the rows, so at most HOT_KEYS keys are."""
 
 
+BATCH_ROWS = "arrow.maxRecordsPerBatch"
+"""Python tasks take batches of 1000 rows where the session leaves Spark's 10000: whole texts may be long."""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(f"spark.sql.execution.{BATCH_ROWS}") == "10000":
+        spark.conf.set(f"spark.sql.execution.{BATCH_ROWS}", "1000")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
