@@ -6,10 +6,12 @@ from .decontaminate import OP5_SQL, op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .mixing import OP7_SQL, op7_mixing
+from .simhash import op2_simhash
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
