@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op2_simhash
+from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
 }
 
