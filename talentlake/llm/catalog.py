@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op2_simhash
+from .tool_calls import OP10_SQL, op10_tool_calls
 from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 SQL = {
@@ -25,4 +27,5 @@ SQL = {
     "op5_decontaminate": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op10_tool_calls": OP10_SQL,
 }
