@@ -6,6 +6,7 @@ from .decontaminate import OP5_SQL, op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .mixing import OP7_SQL, op7_mixing
+from .personal_data import op3_personal_data
 from .simhash import op2_simhash
 from .tool_calls import OP10_SQL, op10_tool_calls
 from .toxicity import op8_toxicity
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_personal_data": op3_personal_data,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
