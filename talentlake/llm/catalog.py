@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
+from .lm_score import op4_lm_score
 from .mixing import OP7_SQL, op7_mixing
 from .personal_data import op3_personal_data
 from .simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_personal_data": op3_personal_data,
+    "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
