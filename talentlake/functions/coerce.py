@@ -33,8 +33,9 @@ def posting_hash(titre: Column | str, entreprise: Column | str, lien: Column | s
 
 # C-10
 def to_double(col: Column | str) -> Column:
-    """Non-numeric text -> null (never an error under ANSI mode); numbers pass through."""
-    return _c(col).try_cast("double")
+    """Non-numeric text and NaN -> null (never an error under ANSI mode); numbers pass through."""
+    number = _c(col).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 # C-15
@@ -45,8 +46,8 @@ def to_bool(col: Column | str, true_tokens: Sequence[str] = tuple(V.TRUE_TOKENS_
 
 # C-16
 def to_date_or(col: Column | str, run_date: str) -> Column:
-    """'yyyy-MM-dd' text -> date; unparsable or null -> the run date."""
-    parsed = F.try_to_date(_c(col).cast("string"), "yyyy-MM-dd")
+    """Text of a date, or of a timestamp (its date) -> date; unparsable or null -> the run date."""
+    parsed = _c(col).cast("string").try_cast("timestamp_ntz").cast("date")
     return F.coalesce(parsed, F.lit(run_date).cast("date"))
 
 

@@ -32,6 +32,9 @@ STATIC_SOURCES = ["kaggle_linkedin"]
 # FIXED VALUES — cleaning
 # --------------------------------------------------------------------------
 NULL_TOKENS = ["nan", "N/A", ""]
+# Cells that a CSV reader takes as missing.
+CSV_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 DEFAULT_COMPANY = "Non spécifiée"
 DEFAULT_SECTOR = "Autre"
 IT_SECTOR = "Informatique / Tech"

@@ -8,8 +8,8 @@ these, so patterns are rewritten class by class:
 * ``\\s`` -> the exact set of characters Python's ``str.isspace`` accepts;
 * ``\\w`` -> ``\\p{L}\\p{N}_``;  ``\\d`` -> ``\\p{Nd}``;
 * Java gets ``(?d)`` (UNIX_LINES) so ``.`` excludes only ``\\n``;
-* Java's default ``\\b`` already treats letters and digits of any script as
-  word characters, so it is kept; RE2's ``\\b`` is ASCII-only, so the oracle
+* what ``\\b`` takes for a word differs between JDKs (ASCII only from 19 on), so
+  Java gets look-arounds over ``[\\p{L}\\p{N}_]``; RE2 has neither, so the oracle
   form spells boundaries out as ``(?:^|[^\\p{L}\\p{N}_])`` / ``(?:[^...]|$)``.
 
 Everything built here is a native Spark ``Column`` (``rlike``,
@@ -31,6 +31,7 @@ RE2_WS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 JAVA_WS = RE2_WS
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
+BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
 def _rewrite(pattern: str, ws: str, re2: bool) -> str:
@@ -51,6 +52,8 @@ def _rewrite(pattern: str, ws: str, re2: bool) -> str:
                 prev = "".join(out)[-1:] if out else ""
                 leading = prev in ("", "|", "(")
                 out.append(f"(?:^|[^{WORD}])" if leading else f"(?:[^{WORD}]|$)")
+            elif n == "b" and not in_class:
+                out.append(BOUNDARY)
             else:
                 out.append(pattern[i:i + 2])
             i += 2

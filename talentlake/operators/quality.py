@@ -13,11 +13,12 @@ from ..functions.coerce import null_token, to_bool, to_date_or
 from ..functions.regex import any_contains, is_blank, java
 
 
-def clean_null_tokens(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """F-01: exact 'nan' / 'N/A' / '' cells -> null, in every string column."""
+def clean_null_tokens(df: DataFrame, cols: Sequence[str] | None = None,
+                      tokens: Sequence[str] = tuple(V.NULL_TOKENS)) -> DataFrame:
+    """F-01: cells equal to a null token ('nan', 'N/A', '') -> null, in every string column."""
     string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
     targets = [c for c in (cols or df.columns) if c in string_cols]
-    return df.withColumns({c: null_token(c) for c in targets}) if targets else df
+    return df.withColumns({c: null_token(c, tokens) for c in targets}) if targets else df
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -48,8 +49,11 @@ def truncate_fields(df: DataFrame) -> DataFrame:
 
 
 def is_it_title(col: str = "titre"):
-    """F-05 predicate: the title matches the IT pattern (case-insensitive); null -> false."""
-    return F.coalesce(F.col(col).rlike(java(V.IT_TITLE_PATTERN, ignore_case=True)), F.lit(False))
+    """F-05 predicate: the title matches the IT pattern, whatever its case; null -> false.
+
+    The title is lowered once and matched without case folding: the pattern is
+    in lower case, and folding costs at every position of every title."""
+    return F.coalesce(F.lower(col).rlike(java(V.IT_TITLE_PATTERN)), F.lit(False))
 
 
 def it_filter(df: DataFrame, col: str = "titre") -> DataFrame:

@@ -927,7 +927,8 @@ def q_connector_linkedin(spark, sf_dir):
 
 # CSV edge (S-01, S-02): postings written as CSV with multi-line-safe quoting, read back
 @register("csv_roundtrip", O.with_postings(
-    "SELECT ingest_seq, titre, entreprise, lieu, description, lien, salaire_brut, tags, hash_id FROM postings"))
+    "SELECT ingest_seq, titre, NULLIF(entreprise, 'N/A') AS entreprise, lieu, description, lien, salaire_brut, tags, "
+    "hash_id FROM postings"))
 def q_csv_roundtrip(spark, sf_dir):
     from ..sources.landing import read_csv, write_csv
     cols = ["ingest_seq", "titre", "entreprise", "lieu", "description", "lien", "salaire_brut", "tags", "hash_id"]
@@ -938,6 +939,33 @@ def q_csv_roundtrip(spark, sf_dir):
     return back
 
 
+_DIRTY = ["N/A", "NULL", "None", "", "nan"]
+UNION_COLS = ["hash_id", "titre", "entreprise", "lieu", "salaire_min", "salaire_max", "salaire_annuel_estime", "lien", "source"]
+
+
+@register("conform_union", O.with_postings(
+    f"SELECT {', '.join(UNION_COLS)} FROM merged",
+    "landed AS (SELECT * REPLACE (substr(sha1(coalesce(titre, 'nan') || '|' || coalesce(entreprise, 'nan') || '|' "
+    "|| coalesce(lien, 'nan')), 1, 16) AS hash_id) FROM (SELECT * REPLACE (NULLIF(entreprise, 'N/A') AS entreprise, "
+    "CASE WHEN ingest_seq % 3 = 1 THEN NULL ELSE lien END AS lien) FROM postings)),"
+    + MERGED_CTES.replace("FROM postings", "FROM landed")))
+def q_conform_union(spark, sf_dir):
+    """S-01, S-10..S-13, U-01 and the merge: every source lands as CSV in crawl order, missing cells spelled in five
+    ways, numbers as text, no hashes; loaded, conformed, hashed, unioned and merged (D-02 decides by order)."""
+    from ..sources.landing import load_sources, write_csv
+    dirty = F.element_at(F.array(*[F.lit(t) for t in _DIRTY]), (F.col("ingest_seq") % 5 + 1).cast("int"))
+    p = P(spark, sf_dir).drop("hash_id")
+    p = p.withColumns({
+        "lien": F.when((F.col("ingest_seq") % 3 == 1) | F.col("lien").isNull(), dirty).otherwise(F.col("lien")),
+        "entreprise": F.when(F.coalesce("entreprise", F.lit("N/A")) == "N/A", dirty).otherwise(F.col("entreprise")),
+        "salaire_min": F.coalesce(F.col("salaire_min").cast("string"), dirty)})
+    root = shared_path(spark, f"landed-{uuid.uuid4().hex}")
+    paths = {s: f"{root}/{s}" for s in V.SOURCE_ORDER}
+    for source, path in paths.items():
+        write_csv(p.where(F.col("source") == source).orderBy("ingest_seq").drop("ingest_seq", "source"), path)
+    return merge_stage(load_sources(spark, paths, "1970-01-01")).select(*UNION_COLS)
+
+
 # The Muse, Arbeitnow, Remotive, SerpApi connectors over postings rendered as landed pages
 # (S-04..S-07, C-12, C-13, C-18, C-19)
 MUSE_CATEGORIES = list(V.THEMUSE_SECTORS)

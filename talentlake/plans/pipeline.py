@@ -9,7 +9,7 @@ lost executor only replays the stage it was in.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,6 @@ from ..functions import fixed as V
 from ..operators.dedup import dedup_by_hash, dedup_by_title_link
 from ..operators.quality import clean_merged, is_it_title
 from ..session import materialize
-from ..operators.salary import clean_salaries
 from ..sources.keyed_table import insert_ignore
 from ..sources.landing import conform, load_sources
 from .stages import DISTINCT_FIRST_MIN_ROWS, landing_order, merge_stage, transform_stage
@@ -32,7 +31,8 @@ def merge_report(landed: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:
     The deduplicated rows (the two shuffles) are written once; every count is a
     small aggregate over that file or over the landed scan."""
     order = landing_order(seq_col)
-    conformed = clean_salaries(conform(landed, keep=(seq_col,)))
+    # the counts rest on the dedup keys, the order and the title
+    conformed = conform(landed, keep=(seq_col,)).select("hash_id", "titre", "lien", "source", seq_col)
     deduped = materialize(dedup_by_title_link(dedup_by_hash(conformed, order), order), "merge-deduped")
     flagged = clean_merged(deduped).withColumn("_it", is_it_title("titre"))
     per_source = flagged.groupBy("source").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_it").alias("_kept"))
@@ -77,26 +77,33 @@ def run_report(landed: DataFrame, merged: DataFrame, written: DataFrame | None =
 
 
 def run_connectors(spark: SparkSession, raw_paths: Mapping[str, str], out_dir: str, run_date: str,
-                   linkedin: tuple[str, str | None] | None = None) -> dict[str, str]:
+                   linkedin: tuple[str, str | None] | None = None, json_lines: Collection[str] = ()) -> dict[str, str]:
     """Stage 1 of the daily run: every connector flattens its landed payloads and
-    writes its per-source CSV (the files the merge stage loads). Returns the paths."""
-    from ..sources.connectors import CONNECTORS, flatten_linkedin, read_payloads
+    writes its per-source CSV (the files the merge stage loads). Returns the paths.
+
+    Sources named in ``json_lines`` landed one response per line; for the others a
+    file is one response, and a file with more than that is an error. Files are
+    written in landing order (a range sort), which the loader reads back: the
+    merge's keep-first prefers what was crawled first."""
+    from ..sources.connectors import CONNECTORS, check_one_per_file, flatten_linkedin, read_payloads
     from ..sources.landing import read_csv, write_csv
     from .. import schema as S
 
     out = {}
     for name, path in raw_paths.items():
         schema, flatten = CONNECTORS[name]
-        df = flatten(read_payloads(spark, path, schema), run_date).drop("ingest_seq")
+        if name not in json_lines:
+            check_one_per_file(spark, path)
+        df = flatten(read_payloads(spark, path, schema, one_per_file=name not in json_lines), run_date)
         target = f"{out_dir}/{name}"
-        write_csv(df, target)
+        write_csv(df.orderBy("ingest_seq").drop("ingest_seq"), target)
         out[name] = target
     if linkedin is not None:
         posts_path, skills_path = linkedin
         posts = read_csv(spark, posts_path, S.LINKEDIN_POSTINGS)
         skills = read_csv(spark, skills_path, S.LINKEDIN_SKILLS) if skills_path else None
         target = f"{out_dir}/kaggle_linkedin"
-        write_csv(flatten_linkedin(posts, skills, run_date).drop("ingest_seq"), target)
+        write_csv(flatten_linkedin(posts, skills, run_date).orderBy("ingest_seq").drop("ingest_seq"), target)
         out["kaggle_linkedin"] = target
     return out
 
@@ -115,5 +122,5 @@ def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str
         .write.mode("overwrite").parquet(f"{run_dir}/transformed")
     transformed = spark.read.parquet(f"{run_dir}/transformed")
     written = insert_ignore(transformed, table_path)
-    report = {(r.stage, r.source): r.n for r in run_report(landed, merged).collect()}
+    report = {(r.stage, r.source): r.n for r in run_report(landed, merged, transformed).collect()}
     return {"report": report, "sink": written}

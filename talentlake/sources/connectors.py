@@ -31,6 +31,28 @@ def read_payloads(spark: SparkSession, path: str, schema, one_per_file: bool = T
     return spark.read.schema(schema).option("multiLine", one_per_file).json(path)
 
 
+# Raw line breaks cannot stand inside a JSON string, and list elements have a comma between them.
+SECOND_DOCUMENT = r"\}\s*[\r\n]\s*\{"
+
+
+def check_one_per_file(spark: SparkSession, path: str) -> None:
+    """Fail if a landed file holds more than one response: only its first one would be read."""
+    more = (spark.read.text(path, wholetext=True).where(F.col("value").rlike(SECOND_DOCUMENT))
+            .select(F.col("_metadata.file_path").alias("file")).take(1))
+    if more:
+        raise ValueError(f"{more[0].file} holds several documents: read it as JSON Lines")
+
+
+def landing_position(df: DataFrame) -> Column:
+    """(file, position) of each row of a scan; an in-memory frame has one nameless file."""
+    try:
+        df.select(F.col("_metadata.file_path"))
+        file_col = F.col("_metadata.file_path")
+    except AnalysisException:          # an in-memory frame has no file metadata
+        file_col = F.lit("")
+    return F.struct(file_col.alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+
+
 def _jobs(raw: DataFrame, array_col: str, search_col: str | None) -> DataFrame:
     """One row per result, ``ingest_seq`` = (file, response, position in the response)."""
     search = F.col(search_col) if search_col and search_col in raw.columns else F.lit(None).cast("string")
@@ -186,9 +208,9 @@ def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: st
     postings = postings.withColumns({c: F.lit(d) for c, d in absent.items() if c not in postings.columns})
     p = postings.where(is_it_keyword("job_title"))
     if order_col not in p.columns:
-        p = p.withColumn(order_col, F.monotonically_increasing_id())
+        p = p.withColumn(order_col, landing_position(p))
     if skills is not None:
-        sk_order = F.col(skills_order_col) if skills_order_col else F.monotonically_increasing_id()
+        sk_order = F.col(skills_order_col) if skills_order_col else landing_position(skills)
         sk = skills.select(F.col("job_link").alias("_sk_link"), "job_skills", sk_order.alias("_sk_seq"))
         # Every row a posting fans out to carries that posting's hash, and the
         # keep-first below prefers the earliest skills row; so only the first
@@ -199,7 +221,7 @@ def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: st
         sk = keep_first(sk, ["_sk_link"], ["_sk_seq"])
         p = p.join(sk, p["job_link"].eqNullSafe(sk["_sk_link"]), "left").drop("_sk_link")
     else:
-        p = p.withColumn("job_skills", F.lit(None).cast("string")).withColumn("_sk_seq", F.lit(0).cast("long"))
+        p = p.withColumn("job_skills", F.lit(None).cast("string")).withColumn("_sk_seq", F.lit(0))
     titre, lien, contrat = _text(F.col("job_title")), _text(F.col("job_link")), _text(F.col("job_type"))
     company = _text(F.col("company"))
     entreprise = F.when((company == "") | (company == "nan"), F.lit(V.DEFAULT_COMPANY)).otherwise(company)

@@ -13,26 +13,35 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import fixed as V
 from ..functions.coerce import posting_hash
+from ..operators.quality import clean_null_tokens
 from ..schema import LANDED
 from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
+# Error conditions of a file that cannot be read or parsed.
+UNREADABLE = ("FAILED_READ_FILE", "MALFORMED_", "CANNOT_READ_FILE", "UNABLE_TO_INFER_SCHEMA")
+
 
 # S-01
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Header CSV with quoted multi-line cells and doubled quotes; text columns unless a schema is given."""
+    """Header CSV with quoted multi-line cells and doubled quotes; text columns unless a schema is given.
+
+    Cells that stand for a missing value are null from here on, so that hashes,
+    joins and deduplication see nulls and not their spellings."""
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
          .option("encoding", "UTF-8"))
     if schema is not None:
         r = r.schema(schema)
-    return r.csv(path)
+    df = r.csv(path)
+    return clean_null_tokens(df, tokens=V.CSV_NULL_TOKENS)
 
 
 # S-02
@@ -50,6 +59,8 @@ def conform(df: DataFrame, keep: tuple[str, ...] = ("ingest_seq",)) -> DataFrame
         if f.name in df.columns:
             same = df.schema[f.name].dataType == f.dataType
             c = F.col(f.name) if same else F.col(f.name).cast("string").try_cast(f.dataType)
+            if isinstance(f.dataType, DoubleType):
+                c = F.when(~F.isnan(c), c)
             cols.append(c.alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
@@ -98,7 +109,9 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
                                               F.monotonically_increasing_id().alias("pos")))
     try:
         empty = df.isEmpty()
-    except Exception as e:  # noqa: BLE001 - a file that only fails once read is unreadable too
+    except PySparkException as e:  # a file that only fails once read is unreadable too; other failures fail the run
+        if not (e.getCondition() or "").startswith(UNREADABLE):
+            raise
         log.warning("source %s skipped: unreadable (%s)", name, str(e).splitlines()[0][:200])
         return None
     if empty:
