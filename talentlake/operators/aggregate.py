@@ -99,7 +99,7 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
         n_open = open_.count()
         if n_open == 0:
             break
-        j = attach_small(vals, open_, keys, n_open).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        j = attach_small(vals, open_, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         bucket = _bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
         hist = (j.groupBy(*tkeys, bucket.alias("_b"))
                 .agg(F.count("*").alias("_bc"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
@@ -118,7 +118,7 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
     n_need = need.count()
     picked = None
     if n_need:
-        cand = attach_small(vals, need.select(*tkeys, "_r", "_below", "_lo", "_hi"), keys, n_need) \
+        cand = attach_small(vals, need.select(*tkeys, "_r", "_below", "_lo", "_hi"), keys) \
             .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         w = Window.partitionBy(*tkeys).orderBy("_v")
         picked = (cand.withColumn("_pos", F.row_number().over(w))

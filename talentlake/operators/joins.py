@@ -1,10 +1,9 @@
-"""Join helpers: broadcast only what has a proven size bound.
+"""Join helpers: which side is broadcast is decided by measured bytes.
 
-``attach_small`` joins a large table to a table whose row count the caller
-has *measured* (it comes from an aggregate that was checkpointed and counted).
-Below the bound the small side is broadcast, so the large side is never
-shuffled and a hot key costs nothing; above it the join is left to a shuffled
-join, where AQE's skew-join splitting takes over.
+``attach_small`` joins a large table to a table that was written before, so the
+planner knows its size in bytes: under ``spark.sql.autoBroadcastJoinThreshold`` it
+is broadcast and the large side is never shuffled; beyond it the join is shuffled
+and AQE splits hot keys.
 """
 
 from __future__ import annotations
@@ -14,39 +13,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
 
-
-def attach_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, small_rows: int,
-                 how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    side = F.broadcast(small) if small_rows <= max_rows else small
-    return big.join(side, on if isinstance(on, Column) else list(on), how)
+def attach_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
+    """Join with a written table, without hints."""
+    return big.join(small, on if isinstance(on, Column) else list(on), how)
 
 
 def map_lookup(key: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
     """J-02 / J-03: dictionary lookup with a default.
 
-    The dictionary is a fixed literal, so it is inlined as a map literal: a
-    hash lookup inside the generated code, no join and no exchange at all."""
+    The dictionary is a fixed literal, so it is inlined as a map literal inside
+    the generated code: no join and no exchange at all."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     value = m[key]
     return value if default is None else F.coalesce(value, default)
 
 
-def classify_by_distinct(df: DataFrame, key: str, outputs: dict, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Add ``outputs`` (name -> function of the key column), computing each
-    distinct key once.
+def classify_by_distinct(df: DataFrame, key: str, outputs: dict) -> DataFrame:
+    """Add ``outputs`` (name -> function of the key column), computing each distinct key once.
 
-    Titles and places repeat heavily, so the distinct keys are counted first
-    (a partial aggregation). Under the bound the rules run on the distinct keys
-    only and the small result is broadcast back (the big side is not
-    shuffled); above it every row is classified in place."""
+    Titles and places repeat heavily: the distinct keys are written, classified and
+    joined back, whatever their number."""
     from ..session import materialize
 
-    keys = materialize(df.select(key).distinct(), "distinct-keys")    # one pass over the input
-    n = keys.count()                                                  # file metadata
-    if n > max_rows:
-        return df.withColumns({name: fn(F.col(key)) for name, fn in outputs.items()})
-    table = keys.select(F.col(key).alias("_ck"), *[fn(F.col(key)).alias(name) for name, fn in outputs.items()])
+    keys = df.select(key).distinct()                                  # one pass over the input
+    table = materialize(keys.select(F.col(key).alias("_ck"), *[fn(F.col(key)).alias(name) for name, fn in outputs.items()]),
+                        "classified")
     base = df.drop(*[o for o in outputs if o in df.columns and o != key])
-    return base.join(F.broadcast(table), base[key].eqNullSafe(table["_ck"]), "left").drop("_ck")
+    return base.join(table, base[key].eqNullSafe(table["_ck"]), "left").drop("_ck")

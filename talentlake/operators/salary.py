@@ -44,7 +44,6 @@ def impute_salaries(df: DataFrame, keys: Sequence[str] = ("secteur", "contrat_ty
     # fill itself): write them once instead of recomputing the upstream plan.
     est = materialize(estimate_salaries(df), "salary-estimates")
     medians, overall = group_and_overall_medians(est, keys, value, alias="_group_median", **median_kw)
-    n_groups = medians.count()                      # the written group table: footer metadata
-    filled = attach_small(est, medians, keys, n_groups, how="left")
+    filled = attach_small(est, medians, keys, how="left")
     fill = F.coalesce(F.col(value), F.col("_group_median"), F.lit(overall).cast("double"))
     return filled.withColumn(value, fill).drop("_group_median").select(*est.columns)

@@ -356,7 +356,8 @@ def _pct_sql(num: str, den: str = "count(*)") -> str:
     return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) * 100 / {den} END)"
 
 
-ENCODER_NAME = "hashed-token-tfidf"
+from ..operators.similarity import ENCODER_NAME  # noqa: E402
+
 _LABEL_SQL = "coalesce(CASE lower({x}) " + " ".join(
     f"WHEN {O.sql_str(k)} THEN {O.sql_str(v)}" for k, v in V.SOURCE_LABELS.items()) + " END, {y})"
 
@@ -568,6 +569,7 @@ def q_slicer_detail(spark, sf_dir):
 # Similarity (M-*, J-07, O-01, F-08..F-10, C-21, S-17, S-18)
 # ---------------------------------------------------------------------------
 
+from ..functions.regex import py_strip_sql  # noqa: E402
 from ..operators import similarity as M  # noqa: E402
 
 TOP_K = 10
@@ -575,11 +577,12 @@ TOP_K = 10
 
 def label_centroids(emb: DataFrame) -> DataFrame:
     """Mean vector of each label: a bounded query batch (one per label) derived from the corpus."""
-    per_dim = (emb.select("label", F.posexplode("embedding").alias("pos", "v"))
-               .groupBy("label", "pos").agg(F.avg("v").alias("v")))
-    return (per_dim.groupBy("label")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_pv"))
-            .select(F.col("label").alias("query_id"), F.transform("_pv", lambda x: x["v"]).alias("embedding")))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    return emb.groupBy("label").agg(mean.alias("m")).select(
+        F.col("label").alias("query_id"), vector_to_array("m").alias("embedding"))
 
 
 _CENTROID_SQL = """
@@ -610,32 +613,53 @@ def q_cosine_topk(spark, sf_dir):
 MIN_SCORE = 0.35
 
 
+def _hashed_topk_sql(queries: str, k: int, min_score: float, columns: str) -> str:
+    """Top-k documents of each text by the cosine of their token counts in hash buckets."""
+    def counts(table, key, text):
+        return (f"SELECT {key}, ('0x' || substr(md5(t), 1, 8))::UBIGINT % {M.DEFAULT_DIMS} AS b, count(*)::DOUBLE AS n FROM (SELECT {key}, "
+                f"unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) GROUP BY ALL")
+    return f"""WITH q AS ({queries}), qt AS ({counts('q', 'query_id', 'text')}), dt AS ({counts('documents', 'doc_id', 'text')}),
+qn AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qt GROUP BY ALL), dn AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM dt GROUP BY ALL),
+dots AS (SELECT query_id, doc_id, sum(qt.n * dt.n) AS dot FROM qt JOIN dt USING (b) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, coalesce(dot / (qn.l * dn.l), 0.0) AS score
+      FROM (SELECT query_id, doc_id FROM q, documents) LEFT JOIN dots USING (query_id, doc_id) LEFT JOIN qn USING (query_id)
+      LEFT JOIN dn USING (doc_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, {columns}, round(score, {SCORE_DP}) AS score FROM r JOIN documents USING (doc_id)
+WHERE rank <= {k} AND score >= {min_score}"""
+
+
 @register("recommend_min_score",
           f"WITH {_CENTROID_SQL} SELECT query_id, vec_id, round(score, {SCORE_DP}) AS score, rank FROM r "
           f"WHERE rank <= {TOP_K} AND score >= {MIN_SCORE}")
 def q_recommend_min_score(spark, sf_dir):
     emb = TD.table(spark, sf_dir, "embeddings")
-    hits = M.top_k_similar(emb, label_centroids(emb), TOP_K, "vec_id")
-    return hits.where(F.col("score") >= MIN_SCORE).select(
+    queries = label_centroids(emb)
+    hits = M.recommend_vectors(queries, emb, "vec_id", TOP_K, MIN_SCORE)
+    return hits.select(
         "query_id", "vec_id", F.round("score", SCORE_DP).alias("score"), "rank")
 
 
-@register("text_recommend", None)
+@register("text_recommend", _hashed_topk_sql(
+    "SELECT item_id AS query_id, text FROM benchmark", 5, 0.0, "doc_id, lang, source"))
 def q_text_recommend(spark, sf_dir):
     """Benchmark passages as free-text queries against the document corpus (hashed-token encoder)."""
     docs = TD.table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"), "lang", "source")
     queries = TD.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return M.recommend(queries, docs, key_col="doc_id", top_k=5, project=["doc_id", "lang", "source"])
+    hits = M.recommend(queries, docs, key_col="doc_id", top_k=5, project=["doc_id", "lang", "source"])
+    return hits.withColumn("score", F.round("score", SCORE_DP))
 
 
-@register("cv_match", None)
+@register("cv_match", _hashed_topk_sql(
+    "SELECT conv_id || ':' || turn AS query_id, text FROM conversations "
+    f"WHERE length({py_strip_sql('text')}) >= {V.CV_MIN_CHARS}", 3, 0.05, "doc_id, lang"))
 def q_cv_match(spark, sf_dir):
-    """User turns as CV texts (under 20 characters rejected), top 3 documents each, score >= 0.05."""
+    """Every turn as a CV text (under 20 characters rejected), top 3 documents each, score >= 0.05."""
     docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    turns = (TD.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
-    return M.recommend_from_text(turns, docs, key_col="doc_id", top_k=3, min_score=0.05,
-                                 project=["doc_id", "lang"])
+    turns = (TD.table(spark, sf_dir, "conversations")
+             .select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text"))
+    hits = M.recommend_from_text(turns, docs, key_col="doc_id", top_k=3, min_score=0.05, project=["doc_id", "lang"])
+    return hits.withColumn("score", F.round("score", SCORE_DP))
 
 
 @register("embedding_text", O.with_postings(
@@ -697,8 +721,8 @@ def q_stream_ingest(spark, sf_dir):
           "ON o.o_orderkey IS NOT DISTINCT FROM l.l_orderkey")
 def q_linkedin_join(spark, sf_dir):
     """J-01: postings LEFT JOIN skills on the link, null-safe, fan-out allowed (orders x lineitem)."""
-    o = TD.table(spark, sf_dir, "orders").select("o_orderkey")
-    li = TD.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    o = TD.table(spark, sf_dir, "orders", spread_out=False).select("o_orderkey")
+    li = TD.table(spark, sf_dir, "lineitem", spread_out=False).select("l_orderkey", "l_linenumber")
     return o.join(li, o["o_orderkey"].eqNullSafe(li["l_orderkey"]), "left").select("o_orderkey", "l_linenumber")
 
 

@@ -21,7 +21,7 @@ from ..operators.quality import clean_merged, is_it_title
 from ..session import materialize
 from ..sources.keyed_table import insert_ignore
 from ..sources.landing import conform, load_sources
-from .stages import DISTINCT_FIRST_MIN_ROWS, landing_order, merge_stage, transform_stage
+from .stages import landing_order, merge_stage, transform_stage
 
 
 # A-12
@@ -117,8 +117,7 @@ def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str
     landed = spark.read.parquet(f"{run_dir}/landed")
     merge_stage(landed).write.mode("overwrite").parquet(f"{run_dir}/merged")
     merged = spark.read.parquet(f"{run_dir}/merged")
-    big = merged.count() >= DISTINCT_FIRST_MIN_ROWS          # Parquet footers: no scan
-    transform_stage(merged, run_date=run_date, distinct_first=big) \
+    transform_stage(merged, run_date=run_date) \
         .write.mode("overwrite").parquet(f"{run_dir}/transformed")
     transformed = spark.read.parquet(f"{run_dir}/transformed")
     written = insert_ignore(transformed, table_path)

@@ -63,10 +63,6 @@ def enrich(df: DataFrame, distinct_first: bool = False) -> DataFrame:
     return out.withColumns(per_row)
 
 
-# Above this many merged rows, title and place rules run once per distinct value.
-DISTINCT_FIRST_MIN_ROWS = 2_000_000
-
-
 def transform_stage(merged: DataFrame, run_date: str | None = None, distinct_first: bool = False,
                     **median_kw) -> DataFrame:
     """Enrich, impute, clean. With ``distinct_first`` the input is written once

@@ -5,10 +5,10 @@ per key inside the batch, drop keys already in the table (left anti join),
 append. The table is plain Parquet; the append is one Spark job whose output
 is committed at job end, so a failed run leaves the table as it was.
 
-Scale: the table only contributes its key column (column pruning). When the
-batch's distinct keys are few enough to broadcast (counted, not guessed) the
-big table is probed map-side - ``table LEFT SEMI JOIN broadcast(batch keys)``
-- and never shuffled; otherwise a shuffled anti join (AQE handles skew).
+Scale: the table only contributes its key column (column pruning), and is probed
+with the written batch keys (``table LEFT SEMI JOIN batch keys``): if they are small
+in bytes they are broadcast and the table is never shuffled, else the join is
+(AQE handles skew).
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql.types import StringType, StructType
 from .. import schema as SC
 from ..functions.coerce import null_token
 from ..operators.dedup import keep_first
-from ..operators.joins import BROADCAST_MAX_ROWS
 from ..session import materialize, path_exists
 
 
@@ -49,15 +48,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path)
 
 
-def new_rows(batch: DataFrame, existing_keys: DataFrame | None, keys: list[str], batch_keys: int | None) -> DataFrame:
-    """Batch rows whose key is absent from the table (J-05)."""
+def new_rows(batch: DataFrame, existing_keys: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Batch rows whose key is absent from the table (J-05). ``batch`` is a written table."""
     if existing_keys is None:
         return batch
-    if batch_keys is not None and batch_keys <= BROADCAST_MAX_ROWS:
-        probe = batch.select(*keys)
-        hits = existing_keys.join(F.broadcast(probe), keys, "left_semi")
-        return batch.join(F.broadcast(hits), keys, "left_anti")
-    return batch.join(existing_keys, keys, "left_anti")
+    hits = materialize(existing_keys.join(batch.select(*keys), keys, "left_semi"), "known-keys")
+    return batch.join(hits, keys, "left_anti")
 
 
 # S-15
@@ -77,9 +73,8 @@ def insert_ignore(batch: DataFrame, path: str, key: str | Sequence[str] = "hash_
     firsts = keep_first(observed.where(not_null), keys, order_by)
     rows = to_keyed(firsts) if typed else firsts
     staged = materialize(rows, "insert-batch")          # one pass over the input
-    n_batch = staged.count()
     existing = spark.read.parquet(path).select(*keys) if table_exists(spark, path) else None
-    fresh = new_rows(staged, existing, keys, n_batch)
+    fresh = new_rows(staged, existing, keys)
     added = Observation("inserted")
     fresh.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     total = spark.read.parquet(path).count()
