@@ -13,6 +13,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
-# Error conditions of a file that cannot be read or parsed.
-UNREADABLE = ("FAILED_READ_FILE", "MALFORMED_", "CANNOT_READ_FILE", "UNABLE_TO_INFER_SCHEMA")
+# What a file that is no readable CSV fails with; a lost executor, a timeout or a missing right is none of these.
+UNREADABLE = ("EOFException", "ZipException", "TextParsingException", "MalformedInputException", "CharConversionException")
+
+
+def _unreadable(e: Exception) -> bool:
+    """Whether reading failed because of the file's content (or its absence)."""
+    return isinstance(e, AnalysisException) or any(name in str(e) for name in UNREADABLE)
 
 
 # S-01
@@ -98,7 +104,9 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
         return None
     try:
         df = read_csv(spark, path)
-    except AnalysisException as e:  # missing path or unreadable
+    except (PySparkException, Py4JJavaError) as e:
+        if not _unreadable(e):
+            raise
         log.warning("source %s skipped: %s", name, str(e).splitlines()[0])
         return None
     if not static:
@@ -109,8 +117,8 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
                                               F.monotonically_increasing_id().alias("pos")))
     try:
         empty = df.isEmpty()
-    except PySparkException as e:  # a file that only fails once read is unreadable too; other failures fail the run
-        if not (e.getCondition() or "").startswith(UNREADABLE):
+    except (PySparkException, Py4JJavaError) as e:  # a file may only fail once read; other failures fail the run
+        if not _unreadable(e):
             raise
         log.warning("source %s skipped: unreadable (%s)", name, str(e).splitlines()[0][:200])
         return None

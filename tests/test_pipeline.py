@@ -1,14 +1,22 @@
 """End to end: landed CSVs -> merge -> transform -> keyed table; streaming ingest idempotence; corpus store."""
 
+import hashlib
+import json
 import os
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from talentlake.functions.coerce import to_date_or
+
 from talentlake.operators import similarity as M
 from talentlake.plans import catalog
-from talentlake.plans.pipeline import run_daily
+from talentlake.plans.pipeline import run_connectors, run_daily
+from talentlake.plans.stages import merge_stage
 from talentlake.sources import testdata as TD
-from talentlake.sources.landing import write_csv
+from talentlake.sources.landing import load_sources, read_csv, write_csv
 from talentlake.streaming.ingest import ingest_available
 
 from .conftest import SF_SMALL
@@ -76,9 +84,95 @@ def test_cosine_golden_and_min_score(spark):
 
 
 def test_every_query_has_whole_table_sql(spark):
-    qs, sql = catalog.QUERIES, catalog.SQL
-    assert set(sql) <= set(qs)
-    assert {"text_recommend", "cv_match"} == set(qs) - set(sql)
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+
+
+def test_partition_emits_at_most_k_rows_per_query_whatever_ties(spark):
+    class Slice:
+        value = (pa.array([7, 8]), np.array([[0.0, 0.0], [1.0, 0.0]]))
+
+    keys = np.arange(5000) * 7919 % 5000
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:a + 700]), pa.array([[1, 1]] * len(keys[a:a + 700]), pa.list_(pa.int32()))],
+                                          names=["key", "vec"]) for a in range(0, 5000, 700)]
+    out = [r for b in M._local_topk_fn(Slice, 5, 2)(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["key"]) for r in out) == [(q, k) for q in (7, 8) for k in range(5)]
+    assert list(M._local_topk_fn(Slice, 5, 2)(iter([]))) == []
+
+
+def test_queries_without_tokens_rank_by_key(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(300)] + [(None, "text"), (301, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([("a", "!!! ???"), ("b", "text"), ("c", "  "), ("d", "word7")], "query_id string, text string")
+    got = {}
+    for r in M.recommend(asked, docs, key_col="doc_id", top_k=3, project=["doc_id"]).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, round(r.score, 6)))
+    assert sorted(got["a"]) == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)] and "c" not in got
+    assert [k for _, k, _ in sorted(got["b"])] == [0, 1, 2] and sorted(got["d"])[0][1] == 7
+
+
+def test_slices_give_the_same_answer(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = emb.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda n: sorted(map(tuple, M.top_k_similar(emb, q, 4, "vec_id", slice_rows=n).select("query_id", "vec_id", "rank").collect()))
+    assert rows(1000) == rows(3)
+
+
+def test_landed_json_lines_and_single_documents(spark, tmpdir_path):
+    one = lambda i: json.dumps({"jobs": [{"title": f"Data Engineer {i}", "company_name": f"c{i}", "url": f"u{i}"}]})
+    lines, docs = os.path.join(tmpdir_path, "lines"), os.path.join(tmpdir_path, "docs")
+    os.makedirs(lines), os.makedirs(docs)
+    open(os.path.join(lines, "all.json"), "w").write("\n".join(one(i) for i in range(5)))
+    for i in range(3):
+        open(os.path.join(docs, f"{i}.json"), "w").write(json.dumps(json.loads(one(i)), indent=2))
+    count = lambda out: read_csv(spark, out["remotive"]).count()
+    assert count(run_connectors(spark, {"remotive": lines}, f"{tmpdir_path}/a", "2026-04-26", json_lines={"remotive"})) == 5
+    assert count(run_connectors(spark, {"remotive": docs}, f"{tmpdir_path}/b", "2026-04-26")) == 3
+    with pytest.raises(ValueError, match="several documents"):
+        run_connectors(spark, {"remotive": lines}, f"{tmpdir_path}/c", "2026-04-26")
+
+
+def test_connector_files_keep_landing_order(spark, tmpdir_path):
+    """40 link-less results of one title: the merge keeps the one that was crawled first."""
+    path = os.path.join(tmpdir_path, "serp")
+    os.makedirs(path)
+    for page in range(4):
+        jobs = [{"title": "Data Engineer", "company_name": f"C{page * 10 + i:03d}", "location": "Paris"} for i in range(10)]
+        open(os.path.join(path, f"p{page}.json"), "w").write(json.dumps({"jobs_results": jobs}))
+    csvs = run_connectors(spark, {"serpapi": path}, f"{tmpdir_path}/out", "2026-04-26")
+    assert [r.entreprise for r in merge_stage(load_sources(spark, csvs, "2000-01-01")).collect()] == ["C000"]
+
+
+def test_missing_cells_are_null_before_hash_and_dedup(spark, tmpdir_path):
+    head = "titre,entreprise,lien,salaire_min,salaire_max\n"
+    ft, arb = os.path.join(tmpdir_path, "ft.csv"), os.path.join(tmpdir_path, "arb.csv")
+    open(ft, "w").write(head + "Data Engineer,Acme,N/A,nan,40000\n")
+    open(arb, "w").write(head + "Data Engineer,Beta,,1,2\nData Analyst,NULL,N/A,NaN,NaN\nBig Data,None,null,,\n")
+    got = {r.titre: r for r in merge_stage(load_sources(spark, {"france_travail": ft, "arbeitnow": arb}, "2000-01-01")).collect()}
+    assert set(got) == {"Data Engineer", "Data Analyst", "Big Data"} and got["Data Engineer"].entreprise == "Acme"
+    assert got["Data Engineer"].salaire_min is None and got["Data Engineer"].salaire_annuel_estime == 40000.0
+    assert got["Data Analyst"].entreprise == got["Big Data"].entreprise == "Non spécifiée"
+    assert got["Data Analyst"].salaire_annuel_estime is None
+    assert got["Data Analyst"].hash_id == hashlib.sha1(b"Data Analyst|nan|nan").hexdigest()[:16]
+
+
+def test_failing_jobs_fail_the_run_and_bad_files_are_skipped(spark, tmpdir_path, monkeypatch):
+    good, bad = os.path.join(tmpdir_path, "good.csv"), os.path.join(tmpdir_path, "bad.csv.gz")
+    open(good, "w").write("titre,lien\nData Engineer,x\n")
+    open(bad, "wb").write(b"\x1f\x8b\x08broken")
+    assert load_sources(spark, {"themuse": good, "remotive": bad, "serpapi": "/none"}, "2000-01-01").count() == 1
+
+    def lost(self):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(type(spark.range(1)), "isEmpty", lost)
+    with pytest.raises(RuntimeError):
+        load_sources(spark, {"themuse": good}, "2000-01-01")
+
+
+def test_dates_and_timestamps(spark):
+    texts = {"2026-04-02": "2026-04-02", "2026-04-02T10:11:12": "2026-04-02", "2026-04-02 23:59:59.5": "2026-04-02", "soon": "2026-04-26",
+             "": "2026-04-26", None: "2026-04-26"}
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert [str(r[0]) for r in df.select(to_date_or("x", "2026-04-26")).collect()] == list(texts.values())
 
 
 def test_distinct_first_classification_matches_per_row(spark):

@@ -32,13 +32,18 @@ def test_source_count_entry(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_top_k_merge_is_a_group_limit_and_fill_is_broadcast(spark):
-    p = plan(catalog.QUERIES["cosine_topk"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in p and "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+def test_top_k_is_merged_before_it_is_read_and_fill_is_broadcast(spark):
+    p = plan(catalog.QUERIES["text_recommend"](spark, SF_SMALL))
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p and "MapInArrow" not in p
     t = plan(catalog.QUERIES["salary_impute"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in t and "SortMergeJoin" not in t
 
 
+def test_merge_report_reads_the_columns_it_counts_by(spark):
+    p = plan(catalog.QUERIES["merge_report"](spark, SF_SMALL))
+    assert "description" not in p and "salaire_max" not in p
+
+
 def test_reports_have_no_nested_loop_joins(spark):
     for name in ["stats_report", "mtd", "merge_report", "run_report", "contract_split", "mom_growth"]:
         p = plan(catalog.QUERIES[name](spark, SF_SMALL))
