@@ -16,9 +16,9 @@ Every step's per-group state is bounded by ``bins`` (or ``small``) rows, no
 matter how large the group. Buckets are contiguous value ranges: equal-width
 inside narrow intervals (each pass shrinks the width by ``bins``x), one per
 octave of magnitude for intervals spanning many orders of magnitude or zero,
-so heavy-tailed data also resolves in a few passes. When the stats pass proves every group is small
-(``<= max_in_memory`` values) the single-pass ``F.median`` is used instead;
-both paths give the same value (linear interpolation ``0.5*a + 0.5*b``).
+so heavy-tailed data also resolves in a few passes. The path is the same at
+every size: a group of at most ``small`` values is ranked at once. The median of
+an even count is ``0.5*a + 0.5*b``.
 Null keys and null/NaN values are ignored, like pandas' ``groupby().median()``.
 """
 
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .joins import attach_small
 
-DEFAULT_MAX_IN_MEMORY = 2_000_000
 DEFAULT_BINS = 4096
 DEFAULT_SMALL = 200_000
 
@@ -46,14 +45,10 @@ def _values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median",
-                 max_in_memory: int = DEFAULT_MAX_IN_MEMORY, bins: int = DEFAULT_BINS,
-                 small: int = DEFAULT_SMALL) -> DataFrame:
+                 bins: int = DEFAULT_BINS, small: int = DEFAULT_SMALL) -> DataFrame:
     """DataFrame(keys..., alias): the exact (interpolated) median of ``value`` per group."""
     keys = list(keys)
     vals = _values(df, keys, value)
-    largest = vals.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= max_in_memory:
-        return vals.groupBy(*keys).agg(F.median("_v").alias(alias))
     stats = materialize(vals.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "median-stats")
     return _select_by_rank(vals, stats, keys, alias, bins, small)
@@ -131,26 +126,24 @@ def _select_by_rank(vals: DataFrame, stats: DataFrame, keys: list[str], alias: s
 
 
 def group_and_overall_medians(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median",
-                              max_in_memory: int = DEFAULT_MAX_IN_MEMORY, **kw) -> tuple[DataFrame, float | None]:
-    """Per-group medians (written once) and the median of all values.
+                              **kw) -> tuple[DataFrame, float | None]:
+    """Per-group medians (written once) and the median of all values, from one selection.
 
-    One job sizes both the largest group and the whole column. When both fit
-    the in-memory bound, a single GROUPING SETS aggregation yields the group
-    medians and the overall one together; otherwise each goes through
-    :func:`exact_median` (rank selection when too large)."""
+    Only keys and values are written; every value stands once under its group (if no
+    key is null) and once under the whole."""
     keys = list(keys)
-    vals = _values(df, keys, value)
-    sized = vals.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("big"), F.sum("_n").alias("all"))
-    row = sized.first()
-    largest, total = (row["big"] or 0), (row["all"] or 0)
-    if total <= max_in_memory:
-        both = materialize(vals.groupingSets([keys, []], *keys)
-                           .agg(F.median("_v").alias(alias), F.grouping_id().alias("_gid")), "medians")
-        overall_row = both.where(F.col("_gid") != 0).select(alias).first()
-        groups = both.where(F.col("_gid") == 0).drop("_gid")
-        return groups, (None if overall_row is None else overall_row[0])
-    groups = materialize(exact_median(df, keys, value, alias, max_in_memory=max_in_memory, **kw), "medians")
-    return groups, global_median(df, value, max_in_memory=max_in_memory, **kw)
+    types = {k: df.schema[k].dataType for k in keys}
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = F.struct(F.lit(0).alias("_whole"), *[F.col(k) for k in keys])
+    whole = F.struct(F.lit(1).alias("_whole"), *[F.lit(None).cast(t).alias(k) for k, t in types.items()])
+    narrow = df.select(*keys, F.col(value).cast("double").alias("_value")).where("_value IS NOT NULL")
+    narrow = narrow.select(F.explode(F.array_compact(F.array(F.when(known, own), whole))).alias("_g"), "_value")
+    both = materialize(exact_median(materialize(narrow, "median-values"), ["_g"], "_value", alias, **kw), "medians")
+    row = both.where(F.col("_g._whole") == 1).select(alias).first()
+    groups = both.where(F.col("_g._whole") == 0).select("_g.*", alias).drop("_whole")
+    return groups, (None if row is None else row[0])
 
 
 def global_median(df: DataFrame, value: str, **kw) -> float | None:

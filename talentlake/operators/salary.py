@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.coerce import to_double
 from ..functions.salary import bound_max, bound_min, row_mean, salary_estimate
 from .aggregate import group_and_overall_medians
-from ..session import materialize
 from .joins import attach_small
 
 
@@ -40,9 +39,9 @@ def impute_salaries(df: DataFrame, keys: Sequence[str] = ("secteur", "contrat_ty
                     value: str = "salaire_annuel_estime", **median_kw) -> DataFrame:
     """C-08: estimate, then fill the gaps with the group median, else the global median."""
     keys = list(keys)
-    # Several passes read the estimates (group stats, medians, global median, the
-    # fill itself): write them once instead of recomputing the upstream plan.
-    est = materialize(estimate_salaries(df), "salary-estimates")
+    # The medians need keys and values only: the plan is pruned to them, and the
+    # fill runs on the rows as they come, without a copy of the whole table.
+    est = estimate_salaries(df)
     medians, overall = group_and_overall_medians(est, keys, value, alias="_group_median", **median_kw)
     filled = attach_small(est, medians, keys, how="left")
     fill = F.coalesce(F.col(value), F.col("_group_median"), F.lit(overall).cast("double"))

@@ -19,6 +19,7 @@ from ..functions.salary import parse_salary_label
 from ..operators.dedup import keep_first
 from ..operators.quality import blank_title_filter, clean_merged, is_it_keyword, it_filter
 from ..operators.salary import clean_salaries, impute_salaries
+from ..session import materialize
 from ..sources import testdata as TD
 from . import oracle as O
 from .stages import enrich, landing_order, merge_stage, transform_stage
@@ -120,7 +121,7 @@ def merged_df(spark, sf_dir) -> DataFrame:
 
 
 def transformed_df(spark, sf_dir) -> DataFrame:
-    return transform_stage(merged_df(spark, sf_dir), run_date=RUN_DATE)
+    return transform_stage(materialize(merged_df(spark, sf_dir), "merged"), run_date=RUN_DATE)
 
 
 # ---------------------------------------------------------------------------
@@ -282,7 +283,7 @@ def q_enrich(spark, sf_dir):
 @register("salary_impute", O.with_postings(
     "SELECT hash_id, secteur, contrat_type, salaire_annuel_estime FROM t_imp", TRANSFORMED_CTES))
 def q_salary_impute(spark, sf_dir):
-    df = impute_salaries(enrich(merged_df(spark, sf_dir)))
+    df = impute_salaries(enrich(materialize(merged_df(spark, sf_dir), "merged")))
     return df.select("hash_id", "secteur", "contrat_type", "salaire_annuel_estime")
 
 
@@ -1106,5 +1107,5 @@ def q_salary_impute_orders_bounded(spark, sf_dir):
     o = TD.table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority",
         (F.col("o_totalprice") / 4).alias("salaire_min"), F.col("o_totalprice").alias("salaire_max"))
-    df = impute_salaries(o, keys=("o_orderstatus", "o_orderpriority"), max_in_memory=0, bins=256, small=1000)
+    df = impute_salaries(o, keys=("o_orderstatus", "o_orderpriority"), bins=256, small=1000)
     return df.select("o_orderkey", "salaire_annuel_estime")

@@ -1,4 +1,4 @@
-"""The daily pipeline's stages as lazy DataFrame plans.
+"""The daily pipeline's stages as DataFrame plans (the salary medians run while the transform is planned).
 
 merge:     salaries -> keep-first by hash -> keep-first by (titre, lien) -> nulls -> IT filter
 transform: title, skills, region, country, contract -> salary imputation -> final cleaning
@@ -21,7 +21,6 @@ from ..functions import text as T
 from ..operators.dedup import dedup_by_hash, dedup_by_title_link, source_rank
 from ..operators.quality import clean_merged, finalize_transformed, it_filter
 from ..operators.salary import clean_salaries, impute_salaries
-from ..session import materialize
 from ..operators.joins import classify_by_distinct
 from ..sources.landing import conform
 
@@ -65,10 +64,8 @@ def enrich(df: DataFrame, distinct_first: bool = False) -> DataFrame:
 
 def transform_stage(merged: DataFrame, run_date: str | None = None, distinct_first: bool = False,
                     **median_kw) -> DataFrame:
-    """Enrich, impute, clean. With ``distinct_first`` the input is written once
-    first, since the distinct-key counts and the classification read it again."""
+    """Enrich, impute, clean. ``merged`` should be a written table: the median pass
+    (keys and salaries) and the fill both read it."""
     run_date = run_date or date.today().isoformat()
-    if distinct_first:
-        merged = materialize(merged, "merged")
     df = impute_salaries(enrich(merged, distinct_first=distinct_first), **median_kw)
     return finalize_transformed(df, run_date)

@@ -33,11 +33,11 @@ def test_exact_median_rank_selection_equals_percentile(spark):
         "v", F.when(F.col("o_orderkey") % 5 == 0, F.lit(1000.0)).otherwise(F.col("o_totalprice")))
     keys = ["o_orderstatus", "o_orderpriority"]
     want = {tuple(r[:2]): r[2] for r in o.groupBy(*keys).agg(F.median("v")).collect()}
-    got = {tuple(r[:2]): r[2] for r in exact_median(o, keys, "v", max_in_memory=0, bins=4, small=3).collect()}
+    got = {tuple(r[:2]): r[2] for r in exact_median(o, keys, "v", bins=4, small=3).collect()}
     assert want.keys() == got.keys()
     assert all(want[k] == got[k] for k in want), [(k, want[k], got[k]) for k in want if want[k] != got[k]][:3]
     # one hot group holding every row
-    allrows = exact_median(o.withColumn("g", F.lit(1)), ["g"], "v", max_in_memory=0, bins=16, small=10).first()[1]
+    allrows = exact_median(o.withColumn("g", F.lit(1)), ["g"], "v", bins=16, small=10).first()[1]
     assert allrows == o.agg(F.median("v")).first()[0]
 
 
@@ -125,7 +125,7 @@ def test_group_and_overall_medians_both_paths(spark):
     keys = ["o_orderstatus"]
     want = {r[0]: r[1] for r in o.groupBy(*keys).agg(F.median("o_totalprice")).collect()}
     want_all = o.agg(F.median("o_totalprice")).first()[0]
-    for kw in ({}, {"max_in_memory": 100, "bins": 8, "small": 50}):
+    for kw in ({}, {"bins": 8, "small": 50}):
         groups, overall = group_and_overall_medians(o, keys, "o_totalprice", alias="m", **kw)
         assert {r[0]: r[1] for r in groups.collect()} == want
         assert overall == want_all
@@ -149,7 +149,7 @@ def test_hot_key_holding_a_third_of_rows(spark, tmpdir_path):
     first = keep_first(hot, ["k"], ["o_orderkey"]).where("k = -1").first()
     assert first.o_orderkey == hot.where("k = -1").agg(F.min("o_orderkey")).first()[0]
     want = {r[0]: r[1] for r in hot.groupBy("k").agg(F.median("o_totalprice")).where("k = -1").collect()}
-    got = {r[0]: r[1] for r in exact_median(hot, ["k"], "o_totalprice", max_in_memory=1000, bins=64,
+    got = {r[0]: r[1] for r in exact_median(hot, ["k"], "o_totalprice", bins=64,
                                             small=200).where("k = -1").collect()}
     assert got == want
     path = os.path.join(tmpdir_path, "hot")
@@ -165,7 +165,7 @@ def test_rank_selection_on_heavy_tailed_values(spark):
          .otherwise(F.pow(F.lit(10.0), (F.col("id") * 7919 % 600) / 2.0 - 150.0)
                     * F.when(F.col("id") % 5 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))).alias("v"))
     want = {r[0]: r[1] for r in base.groupBy("g").agg(F.median("v")).collect()}
-    got = {r[0]: r[1] for r in exact_median(base, ["g"], "v", max_in_memory=0, bins=16, small=40).collect()}
+    got = {r[0]: r[1] for r in exact_median(base, ["g"], "v", bins=16, small=40).collect()}
     assert got == want
 
 
