@@ -94,13 +94,15 @@ def stats_report(df: DataFrame, model_name: str) -> DataFrame:
 
 # A-08 .. A-10
 def profile_stats(df: DataFrame) -> DataFrame:
+    """Counts over the table; each distinct count is an aggregate of its own (together they would
+    expand every row once per column)."""
+    distinct = lambda c: df.select(c).distinct().agg(F.count(c)).scalar()
     return df.agg(
         F.count("*").alias("n_offres"),
-        F.countDistinct("titre_normalise").alias("n_titres_normalises"),
         F.count_if(F.col("competences_extraites") != "").alias("n_avec_competences"),
         F.count("salaire_annuel_estime").alias("n_avec_salaire"),
-        F.countDistinct("region").alias("n_regions"),
-    )
+    ).select("n_offres", distinct("titre_normalise").alias("n_titres_normalises"), "n_avec_competences", "n_avec_salaire",
+             distinct("region").alias("n_regions"), distinct("source").alias("n_sources"))
 
 
 def contract_histogram(df: DataFrame) -> DataFrame:

@@ -417,7 +417,7 @@ def q_last_update(spark, sf_dir):
 @register("profile_stats", D(
     "SELECT count(*) AS n_offres, count(DISTINCT titre_normalise) AS n_titres_normalises, "
     "CAST(count_if(competences_extraites <> '') AS BIGINT) AS n_avec_competences, count(salaire_annuel_estime) AS n_avec_salaire, "
-    "count(DISTINCT region) AS n_regions FROM transformed"))
+    "count(DISTINCT region) AS n_regions, count(DISTINCT source) AS n_sources FROM transformed"))
 def q_profile_stats(spark, sf_dir):
     return B.profile_stats(loaded_postings(spark, sf_dir))
 
@@ -705,6 +705,29 @@ def q_insert_ignore(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_N = O.null_token_sql
+
+
+@register("insert_typed", O.with_postings(
+    f"SELECT hash_id, {_N('titre')} AS titre, {_N('entreprise')} AS entreprise, {_N('lien')} AS lien, salaire_min, "
+    "CASE remote WHEN 'True' THEN true WHEN 'no' THEN false END AS remote, TRY_CAST(date_creation AS DATE) AS date_creation, "
+    "source FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) WHERE rn = 1",
+    "t1 AS (SELECT *, row_number() OVER (PARTITION BY hash_id ORDER BY ingest_seq) AS rn FROM postings WHERE ingest_seq % 3 <> 0), "
+    "t2 AS (SELECT *, row_number() OVER (PARTITION BY hash_id ORDER BY ingest_seq) AS rn FROM postings "
+    "WHERE hash_id NOT IN (SELECT hash_id FROM t1))"))
+def q_insert_typed(spark, sf_dir):
+    """S-14, S-15: postings into the typed table, two thirds of them first, then all with another company (known keys keep theirs)."""
+    path = shared_path(spark, f"keyed-postings-{uuid.uuid4().hex}")
+    p = P(spark, sf_dir)
+    known = p.where(F.col("ingest_seq") % 3 != 0)
+    K.insert_ignore(known, path)
+    ids = known.select("hash_id").distinct()
+    again = p.join(ids.withColumn("seen", F.lit(True)), "hash_id", "left").withColumn(
+        "entreprise", F.when(F.col("seen"), "another").otherwise(F.col("entreprise"))).drop("seen")
+    K.insert_ignore(again, path)
+    return spark.read.parquet(path).select("hash_id", "titre", "entreprise", "lien", "salaire_min", "remote", "date_creation", "source")
+
+
 @register("stream_ingest",
           "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER "
           "(PARTITION BY user_id, event_type ORDER BY event_id) rn FROM events) WHERE rn = 1")
