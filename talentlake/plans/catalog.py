@@ -332,16 +332,17 @@ def D(body: str) -> str:
     return O.with_postings(body, DASHBOARD_CTES)
 
 
-_LOADED: dict[tuple[str, str], str] = {}
+_LOADED: dict[tuple, str] = {}
 
 
 def loaded_postings(spark, sf_dir) -> DataFrame:
     """The loaded postings table the dashboard reads (the original dashboard reads
     views over its database table, not a re-run of the ETL). Built by the merge and
-    transform stages once per application and input folder, written to the shared
-    folder, then read back by every report."""
-    from ..session import path_exists, write_shared
-    key = (spark.sparkContext.applicationId, sf_dir)
+    transform stages once per application and state of the input files, written to the
+    shared folder, then read back by every report."""
+    from ..session import path_exists, path_snapshot, write_shared
+    inputs = tuple(path_snapshot(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("orders", "customer"))
+    key = (spark.sparkContext.applicationId, sf_dir, inputs)
     path = _LOADED.get(key)
     if path is None or not path_exists(spark, path):
         path = write_shared(transformed_df(spark, sf_dir), "loaded-postings")

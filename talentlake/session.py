@@ -89,6 +89,14 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(write_shared(df, name))
 
 
+def path_snapshot(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and modification times of a file or of a folder's files: differs when the data changed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, on whatever filesystem the path names."""
     jvm = spark.sparkContext._jvm

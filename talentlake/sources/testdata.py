@@ -47,17 +47,19 @@ LABELS = [
 ]
 TAGS = [None, "freelance", "cdd", "alternance", "full-time"]
 SOURCES = ["france_travail", "arbeitnow", "themuse", "remotive", "serpapi", "kaggle_linkedin"]
+SMALL_SPLITS = 8
 LINK_PREFIX = "https://jobs.example.com/"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """Give a small scan one partition per core.
 
-    A scan of many files already has plenty of partitions and is returned as
-    is; a single-row-group file is one split, which would leave all but one
-    core idle on CPU-heavy rules, so it is redistributed round-robin."""
+    A single-row-group file is one split, which would leave all but one core idle
+    on CPU-heavy rules, so it is redistributed round-robin. Scans of SMALL_SPLITS
+    splits or more are returned as they are: at the usual 128 MB a split, no more
+    than about a gigabyte is ever moved, whatever the cluster."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:

@@ -168,6 +168,17 @@ def test_failing_jobs_fail_the_run_and_bad_files_are_skipped(spark, tmpdir_path,
         load_sources(spark, {"themuse": good}, "2000-01-01")
 
 
+def test_loaded_table_follows_its_input(spark, tmpdir_path):
+    sf = os.path.join(tmpdir_path, "sf")
+    spark.read.parquet(f"{SF_SMALL}/customer.parquet").write.parquet(f"{sf}/customer.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.where("o_orderkey % 2 = 0").write.parquet(f"{sf}/orders.parquet")
+    before = catalog.QUERIES["total_count"](spark, sf).first()[0]
+    assert catalog.QUERIES["total_count"](spark, sf).first()[0] == before
+    orders.write.mode("overwrite").parquet(f"{sf}/orders.parquet")
+    assert catalog.QUERIES["total_count"](spark, sf).first()[0] > before
+
+
 def test_dates_and_timestamps(spark):
     texts = {"2026-04-02": "2026-04-02", "2026-04-02T10:11:12": "2026-04-02", "2026-04-02 23:59:59.5": "2026-04-02", "soon": "2026-04-26",
              "": "2026-04-26", None: "2026-04-26"}
