@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import join_null_safe, materialize, read, text_of
 
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 SEED = 17
 BUDGET_SHARE = 0.5
 MAX_EPOCHS = 3
