@@ -2,8 +2,8 @@
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are
 ordered by level, the length of the longest chain of calls they depend on;
-levels are found round by round over dependency rows, each round written to the
-shared folder. Arguments are checked against the schemas of their tools, and
+levels are found by pointer doubling along chains and round by round where chains
+meet, each round written to the shared folder. Arguments are checked against the schemas of their tools, and
 every call becomes one line of canonical JSON: sorted keys, no white space,
 numbers and strings as Spark's VARIANT writes them. (level, seq) orders the lines
 of a conversation, so no conversation is ever collected or sorted in one task.
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import fresh_path, materialize, read
 
 #: JSON types by what VARIANT calls them.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
@@ -74,26 +74,56 @@ def argument_errors(name: Column, arguments: str, schemas: dict[str, dict]) -> C
     return F.when(F.coalesce(is_object, F.lit(False)), listed).otherwise(F.array(F.lit("arguments are no object")))
 
 
+def _chains(waits: DataFrame) -> DataFrame:
+    """(conv_id, call_id, up, off) of calls with one dependency: the nearest call above with none or several, and how far.
+
+    Pointer doubling: every round each call takes over what its ``up`` points to, so a chain takes as many rounds as
+    its length has binary digits. Calls on or behind a cycle keep pointing at calls with one dependency and are left out."""
+    chain = materialize(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("up"))
+                        .filter("n = 1").select("conv_id", "call_id", "up", F.lit(1).cast("bigint").alias("off")), "chains")
+    for _ in range(chain.count().bit_length() + 1):
+        above = chain.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"))
+        chain = materialize(chain.join(above, ["conv_id", "up"], "left").select(
+            "conv_id", "call_id", F.coalesce("up2", "up").alias("up"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"),
+            F.col("up2").isNotNull().alias("moved")), "chains")
+        if chain.filter("moved").isEmpty():
+            break
+    return chain.filter("NOT moved").drop("moved") if "moved" in chain.columns else chain
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that have a level."""
+    """(conv_id, call_id, level) of the calls that have a level.
+
+    Chains are shortened first; the rounds left are as many as calls with several dependencies stand above each other."""
+    spark = calls.sparkSession
     nodes = calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL")
     known = nodes.select("conv_id", "call_id").distinct()
     waits = nodes.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).filter("dep <> call_id").distinct()
-    waits = waits.join(known.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi")
-    waits = materialize(waits.withColumn("at", F.lit(None).cast("int")), "dependencies")
-    new = materialize(known.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    levels = new
-    while not waits.isEmpty() and not new.isEmpty():
-        done = new.select("conv_id", F.col("call_id").alias("dep"), "level")
-        waits = waits.join(done, ["conv_id", "dep"], "left").select(
-            "conv_id", "call_id", "dep", F.coalesce("at", "level").alias("at"))
-        waits = materialize(waits, "dependencies")
-        ready = waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("at").alias("have"),
-                                                        (F.max("at") + 1).alias("level"))
+    waits = materialize(waits.join(known.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi"), "dependencies")
+    chain = materialize(_chains(waits), "chains")
+    several = waits.groupBy("conv_id", "call_id").count().filter("count > 1").drop("count")
+    tops = chain.select("conv_id", F.col("call_id").alias("dep"), F.col("up"), "off")
+    waits_on = waits.join(several, ["conv_id", "call_id"], "left_semi").join(tops, ["conv_id", "dep"], "left").select(
+        "conv_id", "call_id", F.coalesce("up", "dep").alias("up"), F.coalesce("off", F.lit(0)).alias("off"),
+        F.lit(None).cast("bigint").alias("at"))
+    waits_on = materialize(waits_on, "waits")
+    path = fresh_path(spark, "levels")
+    new = materialize(known.join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
+                      .withColumn("level", F.lit(0).cast("bigint")), "level")
+    new.write.parquet(path)
+    while not waits_on.isEmpty() and not new.isEmpty():
+        done = new.select("conv_id", F.col("call_id").alias("up"), "level")
+        waits_on = materialize(waits_on.join(done, ["conv_id", "up"], "left").select(
+            "conv_id", "call_id", "up", "off", F.coalesce("at", F.col("level") + F.col("off")).alias("at")), "waits")
+        ready = waits_on.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("at").alias("have"),
+                                                           (F.max("at") + 1).alias("level"))
         new = materialize(ready.filter("n = have").drop("n", "have"), "level")
-        waits = materialize(waits.join(new, ["conv_id", "call_id"], "left_anti"), "dependencies")
-        levels = levels.unionByName(new)
-    return levels
+        new.write.mode("append").parquet(path)
+        waits_on = materialize(waits_on.join(new, ["conv_id", "call_id"], "left_anti"), "waits")
+    levels = spark.read.parquet(path)
+    below = chain.join(levels.withColumnRenamed("call_id", "up"), ["conv_id", "up"]).select(
+        "conv_id", "call_id", (F.col("level") + F.col("off")).alias("level"))
+    return levels.unionByName(below).withColumn("level", F.col("level").cast("int"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

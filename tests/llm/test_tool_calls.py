@@ -34,6 +34,17 @@ def test_levels_follow_dependencies(spark):
         (1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 3, (1, "s"): 0, (2, "b2"): 0, (2, "b"): 1, (2, "a"): 2}
 
 
+def test_levels_of_long_chains_and_where_they_meet(spark):
+    """200 calls in a row, two rows of 30 that meet, a cycle of 7 with a chain of 5 behind it."""
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(200)]
+    rows += [(2, f"{s}{i}", [f"{s}{i - 1}"] if i else []) for s in "ab" for i in range(30)] + [(2, "m", ["a29", "b7", "a3"]), (2, "m1", ["m"]), (2, "m2", ["m1", "b29"])]
+    rows += [(3, f"o{i}", [f"o{(i + 1) % 7}"]) for i in range(7)] + [(3, f"p{i}", [f"p{i - 1}" if i else "o0"]) for i in range(5)] + [(3, "q", ["p4", "f"]), (3, "f", [])]
+    calls = spark.createDataFrame([(c, i, 0, "any", "{}", d) for c, i, d in rows], CALL)
+    got = {(r.conv_id, r.call_id): r.level for r in call_levels(calls).collect()}
+    assert got == {(1, f"c{i}"): i for i in range(200)} | {(2, f"{s}{i}"): i for s in "ab" for i in range(30)} | {
+        (2, "m"): 30, (2, "m1"): 31, (2, "m2"): 32, (3, "f"): 0}
+
+
 def test_links_and_canonical_json(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "any", ' { "b" : [1, {"z":1,"y":"\\u00e9\\n"}], "a":"q\\"" } ', []), (1, "a", 5, "any", "{}", []), (1, "b", 1, "any", "[]", None),
