@@ -56,6 +56,7 @@ DIGITS = bytes(range(0x30, 0x3A))
 MARKS = b".,;:!?\"'()-"
 SIGNS = b"#$%&*@^~<>|{}[]\\/_+="
 N_FEATURES = 16
+KNOWN_TOKENS = 200_000
 
 
 def units(word: str) -> list[str]:
@@ -69,8 +70,24 @@ def spelled(token: str) -> str:
     return word if word.isalpha() else re.sub(r"[\W\d_]+", "", word.translate(WRITTEN_FOR))
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+def judged(token: str, lexicon: dict[str, float], known: dict) -> tuple[float, bool, bool]:
+    """(lexicon weight, whether signs are mixed in, whether a letter is drawn out) of a token.
+    ``known`` keeps what was judged before, of at most KNOWN_TOKENS tokens."""
+    found = known.get(token)
+    if found is None:
+        plain = token.isalpha()
+        word = token if plain else spelled(token)
+        weight = max(map(lexicon.get, units(word), [0.0] * 5)) if word else 0.0
+        found = weight, not plain and MIXED.search(token) is not None, LONG_RUN.search(token) is not None
+        if len(known) >= KNOWN_TOKENS:
+            known.clear()
+        known[token] = found
+    return found
+
+
+def features(text: str, lexicon: dict[str, float], known: dict | None = None) -> list[float]:
     """The dense features of one text."""
+    known = {} if known is None else known
     if not text:
         return [0.0] * N_FEATURES
     tokens = text.lower().split()
@@ -80,11 +97,11 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     total, most, distinct = 0.0, 0.0, 0
     bad = set()
     for token, times in counts.items():
-        word = token if token.isalpha() else spelled(token)
-        weight = max(map(lexicon.get, units(word), [0.0] * 5)) if word else 0.0
-        odd = not token.isalpha() and MIXED.search(token) is not None
-        mixed += odd * times
-        runs += times * (LONG_RUN.search(token) is not None)
+        weight, odd, drawn = judged(token, lexicon, known)
+        if odd:
+            mixed += times
+        if drawn:
+            runs += times
         if weight > 0:
             bad.add(token)
             strong += times
@@ -114,10 +131,11 @@ class Model:
     calibrate: Isotonic | None
     share: float
 
-    def score(self, texts) -> np.ndarray:
+    def score(self, texts, known: dict | None = None) -> np.ndarray:
+        known = {} if known is None else known
         if self.trees is None:
             return np.full(len(texts), self.share)
-        x = np.array([features(t, self.lexicon) for t in texts], float).reshape(-1, N_FEATURES)
+        x = np.array([features(t, self.lexicon, known) for t in texts], float).reshape(-1, N_FEATURES)
         return np.clip(self.calibrate(self.trees.margin(x)), 0.0, 1.0)
 
 
@@ -195,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _described(lexicon: dict):
     def run(batches: Iterator[pa.RecordBatch]):
+        known: dict = {}
         for batch in batches:
-            x = [features(t, lexicon) for t in batch.column("text").to_pylist()]
+            x = [features(t, lexicon, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("part"),
                                               batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))],
                                              names=["id", "part", "toxic", "x"])
@@ -207,8 +226,10 @@ def _described(lexicon: dict):
 def toxicity(model: Model, text_col: str = "text") -> Column:
     """Probability that a text is toxic."""
     @F.pandas_udf(DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for texts in batches:
+            yield pd.Series(model.score(texts.tolist(), known))
 
     return scored(text_of(text_col))
 
