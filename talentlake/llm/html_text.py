@@ -2,9 +2,10 @@
 
 A page is read as a sequence of blocks, each with its root-to-leaf tag path.
 Per path, text length, punctuation and link text are summed over its blocks and
-divided by their number; sibling paths are smoothed together; the ratios and
-what the path's names say about it are fused into one score per path, and a
-threshold on the scores selects the content paths.
+divided by their number; a path is smoothed with the subtrees around it; the
+ratios and what the path's names say about it (article and main among them) are
+fused into one score per path, and on every page a threshold on the scores
+selects the content paths.
 
 Defined results: a null or empty page, or one without content, gives an empty
 text; unclosed elements end where their parent does; markup cut off at the end
@@ -15,6 +16,7 @@ written. The whole page is read; other columns are kept as they are.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 
@@ -53,10 +55,13 @@ ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
-MIN_SHARE = 0.5
-"""The content root is the deepest element holding at least this share of all scores."""
-THRESHOLD = 0.3
-"""Where no element is marked as content, paths outside the root with this share of the best score are content too."""
+THRESHOLD = 0.1
+"""Paths with this share of the best score are content."""
+MARKED = {"article": 16.0, "main": 6.0}
+"""Factors of paths below the elements that mark content; the greatest counts once."""
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary address center".split())
+PLAIN = 0.2
+"""Factor of text that stands in no element for text, such as directly in a div."""
 
 
 class Block:
@@ -158,8 +163,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def name_factor(path: tuple) -> float:
+    """What the element names of a path say of its text."""
+    marked = max((MARKED[t] for t in path if t in MARKED), default=1.0)
+    return marked * (1.0 if path and path[-1] in TEXTUAL else PLAIN)
+
+
 def path_scores(found: list[Block]) -> dict[tuple, float]:
-    """The fused score of each path: text and punctuation per block, less link text, smoothed over siblings."""
+    """The fused score of each path.
+
+    A path's ratio is its text and punctuation per block (in logarithms), less link
+    text. It is smoothed with the mean ratios of the subtrees it lies in, each half
+    the weight of the one inside it, and multiplied by what the names say."""
     n, size, marks, links = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         if not b.part:
@@ -167,39 +182,29 @@ def path_scores(found: list[Block]) -> dict[tuple, float]:
             size[b.path] += len(b.text)
             marks[b.path] += len(PUNCTUATION.findall(b.text))
             links[b.path] += min(b.links, len(b.text))
-    ratio = {p: size[p] / n[p] * (1 + marks[p] / n[p]) * (1 - links[p] / size[p]) ** 2 for p in n}
+    ratio = {p: math.log1p(size[p] / n[p]) * (1 + math.log1p(marks[p] / n[p])) * (1 - links[p] / size[p]) ** 2 for p in n}
     total, of = defaultdict(float), defaultdict(int)
     for p in n:
-        total[p[:-1]] += ratio[p] * n[p]
-        of[p[:-1]] += n[p]
-    # geometric mean of the path's own ratio and its siblings' mean
-    return {p: (ratio[p] * total[p[:-1]] / of[p[:-1]]) ** 0.5 for p in n}
+        for k in range(len(p)):
+            total[p[:k]] += ratio[p] * size[p]
+            of[p[:k]] += size[p]
+    scores = {}
+    for p in n:
+        around, weight = 0.0, 0.0
+        for k in range(len(p)):
+            w = 0.5 ** (len(p) - k)
+            around += w * total[p[:k]] / of[p[:k]]
+            weight += w
+        scores[p] = (ratio[p] * (around / weight if weight else ratio[p])) ** 0.5 * name_factor(p)
+    return scores
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page, one block per line."""
     found = blocks(page or "")
     scores = path_scores(found)
-    if not scores:
-        return ""
-    weight = defaultdict(float)
-    for b in found:
-        if not b.part:
-            for k in range(len(b.path) + 1):
-                weight[b.path[:k]] += scores[b.path] * len(b.text)
-    marked = [p for p in weight if p and p[-1] in CONTENT and weight[p] > 0]
-    if marked:
-        roots = [p for p in marked if not any(q != p and q == p[:len(q)] and q[-1] == "article" for q in marked)]
-        if any(p[-1] == "article" for p in roots):
-            roots = [p for p in roots if p[-1] == "article"]
-        chosen = {p for p in scores if any(r == p[:len(r)] for r in roots)}
-    else:
-        whole, best = weight[()], max(scores.values())
-        root = max((p for p in weight if weight[p] >= MIN_SHARE * whole), key=len)
-        root = root[:-1] if root in scores else root     # a leaf's parent, with the leaf's siblings
-        chosen = {p for p in scores if root == p[:len(root)] and (root or scores[p] > 0) or scores[p] >= THRESHOLD * best}
-        chosen = {p for p in chosen if scores[p] >= THRESHOLD ** 4 * best}
-    return "\n".join(b.text for b in found if not b.part and b.path in chosen)
+    best = max(scores.values(), default=0.0)
+    return "\n".join(b.text for b in found if not b.part and scores[b.path] >= THRESHOLD * best)
 
 
 @F.pandas_udf(StringType())

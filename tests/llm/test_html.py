@@ -24,6 +24,20 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+STORY = "<p>" + "A paragraph of the story, told at some length. It goes on for a while; then it ends. " * 2 + "</p>"
+
+
+@pytest.mark.parametrize("block", [
+    "<div>Buy now</div>", "<div><ul><li><a href='/a'>Other story</a></li><li><a href='/b'>One more</a></li></ul></div>"])
+def test_scores_decide_inside_articles_too(block):
+    for mark in ("article", "main", "div"):
+        page = f"<body><{mark}><h1>Title here</h1>{STORY}%s{STORY}<ul><li>one thing</li></ul></{mark}></body>"
+        assert main_text(page % block) == main_text(page % "")
+        assert main_text(page % "").startswith("Title here\nA paragraph") and main_text(page % "").endswith("\none thing")
+    # an article is a feature, too: dense text outside is not lost to a short teaser
+    assert "A paragraph" in main_text(f"<article><p>Hi</p></article><section>{STORY * 3}</section>")
+
+
 def test_other_columns_stay_and_rows_repeat(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None)]
     got = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
