@@ -237,3 +237,24 @@ def test_connectors_to_table(spark, tmpdir_path):
     shares = {r.skill: r.pct for r in bi.skill_shares(view).collect()}
     assert shares["Python"] == 50.0 and shares["Cloud"] == 50.0
     assert bi.month_over_month(view).count() >= 1
+
+
+def test_text_scores_are_cosines_of_exact_token_counts(spark):
+    import math
+    import random
+    from collections import Counter
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    docs = {i: some(rng.randrange(1, 400)) for i in range(150)}
+    asked = {i: some(40) for i in range(30)}
+    def cosine(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return sum(a[t] * b[t] for t in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    got = M.recommend(spark.createDataFrame(list(asked.items()), "query_id int, text string"),
+                      spark.createDataFrame(list(docs.items()), "doc_id int, text string"), key_col="doc_id", top_k=5, project=["doc_id"])
+    got = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in got.collect())
+    want = []
+    for q, text in asked.items():
+        best = sorted((-round(cosine(text, d), 12), k) for k, d in docs.items())[:5]
+        want += [(q, n, k, round(-s, 9)) for n, (s, k) in enumerate(best, 1)]
+    assert got == want
