@@ -64,17 +64,25 @@ PLAIN = 0.2
 """Factor of text that stands in no element for text, such as directly in a div."""
 
 
+NAMED = 0.02
+"""Factor of paths in elements whose class or id names a part of a page."""
+MODIFIERS = frozenset("has no with without hide show".split())
+MOST = (0.5, 0.8)
+"""Share of the page's scored text from which a name does not count: of elements that hold an article or main, of others."""
+
+
 class Block:
-    """A run of text between two block boundaries."""
+    """A run of text between two block boundaries, the numbers of the named elements around it, and of
+    those around its outermost article (or main, where there is none)."""
 
-    __slots__ = ("path", "part", "text", "links")
+    __slots__ = ("path", "part", "text", "links", "named", "outer")
 
-    def __init__(self, path: tuple, part: bool, text: str, links: int):
-        self.path, self.part, self.text, self.links = path, part, text, links
+    def __init__(self, path: tuple, part: bool, text: str, links: int, named: tuple, outer: tuple):
+        self.path, self.part, self.text, self.links, self.named, self.outer = path, part, text, links, named, outer
 
 
 def _is_part(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is a menu, header, footer, advert and the like. inside: of an article."""
+    """Whether an element is no content whatever it holds: a menu, footer, form, hidden and the like. inside: of an article."""
     if tag in NEVER or tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body"):
@@ -83,17 +91,37 @@ def _is_part(tag: str, attrs: str, inside: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in CONTENT and any(
-                (w in PARTS or w.startswith(PART_PREFIXES)) and not (inside and w == "header")
-                for w in map(str.lower, WORDS.findall(value))):
-            return True
     return False
 
 
+def _is_named(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether a class or id of an element names a part of a page (no-sidebar and has-sidebar do not)."""
+    if not attrs or tag in ("html", "body") or tag in CONTENT:
+        return False
+    for name, value in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            before = ""
+            for w in map(str.lower, WORDS.findall(value)):
+                if (w in PARTS or w.startswith(PART_PREFIXES)) and before not in MODIFIERS and not (inside and w == "header"):
+                    return True
+                before = w
+    return False
+
+
+def _outer(stack: list[tuple]) -> tuple:
+    """The named elements around the outermost article, or main, of a stack of open elements."""
+    for tag in ("article", "main"):
+        for s in stack:
+            if s[0] == tag:
+                return s[3]
+    return ()
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with their tag paths."""
     out: list[Block] = []
-    stack: list[tuple] = []          # (tag, is a part, is content)
+    stack: list[tuple] = []          # (tag, is a part, is content, numbers of the named elements around)
+    elements = 0
     run: list[str] = []
     links = 0
 
@@ -101,13 +129,13 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            names = tuple(t for t, _, _ in stack if t in BLOCKS)
-            out.append(Block(names, bool(stack) and stack[-1][1], text, links))
+            names = tuple(s[0] for s in stack if s[0] in BLOCKS)
+            out.append(Block(names, bool(stack) and stack[-1][1], text, links, stack[-1][3] if stack else (), _outer(stack)))
         run.clear()
         links = 0
 
     def close_to(k: int):
-        if any(t in BLOCKS for t, _, _ in stack[k:]):
+        if any(s[0] in BLOCKS for s in stack[k:]):
             flush()
         del stack[k:]
 
@@ -116,11 +144,12 @@ def blocks(page: str) -> list[Block]:
         m = MARKUP.search(page, at)
         text = page[at:m.start() if m else length]
         if text:
-            if stack and stack[-1][1] and not stack[-1][0] in BLOCKS:
+            block = next((s for s in reversed(stack) if s[0] in BLOCKS), None)
+            if stack and stack[-1][0] not in BLOCKS and (stack[-1][1] or stack[-1][3] != (block[3] if block else ())):
                 pass                                   # inline element that is no content, such as a hidden span
             else:
                 run.append(text)
-                if any(t == "a" for t, _, _ in stack):
+                if any(s[0] == "a" for s in stack):
                     links += len(text.strip())
         if not m:
             break
@@ -155,10 +184,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        inside = any(c for _, _, c in stack)
+        inside = any(s[2] for s in stack)
         part = bool(stack) and stack[-1][1] or _is_part(tag, attrs, inside)
         content = tag in CONTENT or 'role="main"' in attrs
-        stack.append((tag, part, content))
+        named = stack[-1][3] if stack else ()
+        if not part and _is_named(tag, attrs, inside):
+            elements += 1
+            named = (*named, elements)
+        stack.append((tag, part, content, named))
     flush()
     return out
 
@@ -199,12 +232,32 @@ def path_scores(found: list[Block]) -> dict[tuple, float]:
     return scores
 
 
+def named_parts(found: list[Block], scores: dict[tuple, float]) -> set[int]:
+    """The named elements whose name counts: those that do not hold most of the page's scored text."""
+    weight, whole, holds = defaultdict(float), 0.0, set()
+    for b in found:
+        w = scores[b.path] * len(b.text)
+        whole += w
+        for e in b.named:
+            weight[e] += w
+        holds.update(b.outer)
+    return {e for e in weight if weight[e] < MOST[e not in holds] * whole}
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page, one block per line."""
-    found = blocks(page or "")
+    found = [b for b in blocks(page or "") if not b.part]
     scores = path_scores(found)
-    best = max(scores.values(), default=0.0)
-    return "\n".join(b.text for b in found if not b.part and scores[b.path] >= THRESHOLD * best)
+    counted = named_parts(found, scores) if any(b.named for b in found) else set()
+    if counted:
+        # text of parts has paths of its own and does not count in the others' ratios
+        apart = [any(e in counted for e in b.named) for b in found]
+        of = [path_scores([b for b, a in zip(found, apart) if a == side]) for side in (False, True)]
+        each = [of[a][b.path] * (NAMED if a else 1.0) for b, a in zip(found, apart)]
+    else:
+        each = [scores[b.path] for b in found]
+    best = max(each, default=0.0)
+    return "\n".join(b.text for b, score in zip(found, each) if score >= THRESHOLD * best)
 
 
 @F.pandas_udf(StringType())

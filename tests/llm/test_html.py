@@ -38,6 +38,15 @@ def test_scores_decide_inside_articles_too(block):
     assert "A paragraph" in main_text(f"<article><p>Hi</p></article><section>{STORY * 3}</section>")
 
 
+@pytest.mark.parametrize("attrs", ["class='content has-sidebar'", "class=no-sidebar", "class='with-header'", "id='share-prices'", "class='comment-page'"])
+def test_names_do_not_mark_what_holds_the_article(attrs):
+    plain = main_text(f"<article><h1>Title here</h1>{STORY}</article>")
+    for outside in ("", "<div class=ad>Buy now, today.</div><div class=comments><p>Great post! I agree.</p></div>"):
+        assert main_text(f"<div {attrs}><article><h1>Title here</h1>{STORY}</article>{outside}</div>") == plain
+        assert main_text(f"<main><x-app {attrs}><article><h1>Title here</h1>{STORY}</article>{outside}</x-app></main>") == plain
+        assert main_text(f"<body><div {attrs}><h1>Title here</h1>{STORY}</div>{outside}</body>") == plain
+
+
 def test_other_columns_stay_and_rows_repeat(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None)]
     got = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
