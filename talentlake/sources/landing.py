@@ -11,7 +11,7 @@ deduplication can prefer earlier rows.
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -27,13 +27,32 @@ from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
-# What a file that is no readable CSV fails with; a lost executor, a timeout or a missing right is none of these.
+# What a file that is no readable CSV fails with; a timeout or a missing right is none of these. A broken connection
+# or a dying worker can raise the same classes, but not when the file is read again.
 UNREADABLE = ("EOFException", "ZipException", "TextParsingException", "MalformedInputException", "CharConversionException")
 
 
-def _unreadable(e: Exception) -> bool:
-    """Whether reading failed because of the file's content (or its absence)."""
-    return isinstance(e, AnalysisException) or any(name in str(e) for name in UNREADABLE)
+def _file_errors(e: Exception) -> set[str]:
+    return {name for name in UNREADABLE if name in str(e)}
+
+
+def _read(name: str, read: Callable):
+    """``read()``, or None where it fails because of the file: it is absent, or two reads fail in the same way."""
+    try:
+        return read()
+    except AnalysisException as e:
+        error = e
+    except (PySparkException, Py4JJavaError) as e:
+        if not _file_errors(e):
+            raise
+        try:
+            return read()
+        except (PySparkException, Py4JJavaError) as again:
+            if _file_errors(again) != _file_errors(e):
+                raise
+            error = again
+    log.warning("source %s skipped: unreadable (%s)", name, str(error).splitlines()[0][:200])
+    return None
 
 
 # S-01
@@ -102,12 +121,8 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
     if not path_exists(spark, path):
         log.warning("source %s skipped: missing", name)
         return None
-    try:
-        df = read_csv(spark, path)
-    except (PySparkException, Py4JJavaError) as e:
-        if not _unreadable(e):
-            raise
-        log.warning("source %s skipped: %s", name, str(e).splitlines()[0])
+    df = _read(name, lambda: read_csv(spark, path))
+    if df is None:
         return None
     if not static:
         df = fresh_only(df, run_date)
@@ -115,12 +130,8 @@ def load_source(spark: SparkSession, name: str, path: str, run_date: str,
     # row's position, numbered by input split (splits follow file offsets).
     df = df.withColumn("ingest_seq", F.struct(F.col("_metadata.file_path").alias("file"),
                                               F.monotonically_increasing_id().alias("pos")))
-    try:
-        empty = df.isEmpty()
-    except (PySparkException, Py4JJavaError) as e:  # a file may only fail once read; other failures fail the run
-        if not _unreadable(e):
-            raise
-        log.warning("source %s skipped: unreadable (%s)", name, str(e).splitlines()[0][:200])
+    empty = _read(name, df.isEmpty)               # a file may only fail once read; other failures fail the run
+    if empty is None:
         return None
     if empty:
         log.warning("source %s skipped: empty or stale", name)

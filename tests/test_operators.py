@@ -176,3 +176,25 @@ def test_landing_order_follows_file_names(spark, tmpdir_path):
     df = L.load_source(spark, "kaggle_linkedin", d, run_date="2000-01-01")
     first = keep_first(df, ["hash_id"], ["ingest_seq"]).where("hash_id = 'k1'").first()
     assert first.titre == "early"
+
+
+def test_only_failures_that_a_second_read_repeats_skip_a_source():
+    import pytest
+    from pyspark.errors import PySparkException
+
+    def reader(*outcomes):
+        left = list(outcomes)
+
+        def read():
+            out = left.pop(0)
+            if isinstance(out, str):
+                raise PySparkException(out)
+            return out
+        return read
+
+    lost = "java.io.EOFException: connection to the storage node broke"
+    assert L._read("s", reader(lost, 7)) == 7
+    assert L._read("s", reader(lost, lost)) is None
+    for outcomes in (("worker lost", 7), (lost, "worker lost")):
+        with pytest.raises(PySparkException):
+            L._read("s", reader(*outcomes))
