@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .divergence import OP13_SQL, op13_source_divergence
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
 from .lm_score import op4_lm_score
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_tool_calls": op10_tool_calls,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL = {
@@ -32,4 +36,5 @@ SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
