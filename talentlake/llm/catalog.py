@@ -10,6 +10,7 @@ from .html_text import op9_html_text
 from .lm_score import op4_lm_score
 from .mixing import OP7_SQL, op7_mixing
 from .personal_data import op3_personal_data
+from .secret_scan import OP12_SQL, op12_secret_scan
 from .simhash import op2_simhash
 from .tool_calls import OP10_SQL, op10_tool_calls
 from .toxicity import op8_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_tool_calls": op10_tool_calls,
     "op11_token_alignment": op11_token_alignment,
+    "op12_secret_scan": op12_secret_scan,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -36,5 +38,6 @@ SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op12_secret_scan": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
