@@ -554,6 +554,19 @@ def q_calendar_join(spark, sf_dir):
                                                           "semaine")
 
 
+CALENDAR_FROM, CALENDAR_TO = "1993-06-01", "1996-12-31"
+
+
+@register("calendar_join_outside", D(
+    f"SELECT v.hash_id, v.date_publication, c.annee, c.trimestre, c.semaine FROM dashboard v LEFT JOIN (SELECT * FROM ({_CAL_SQL}) "
+    f"WHERE date BETWEEN DATE '{CALENDAR_FROM}' AND DATE '{CALENDAR_TO}') c ON v.date_publication = c.date"))
+def q_calendar_join_outside(spark, sf_dir):
+    """J-06 with a calendar that begins after the first postings and ends before the last: those outside it stay, without attributes."""
+    view = view_df(spark, sf_dir)
+    calendar = B.calendar(view, start=CALENDAR_FROM, end=CALENDAR_TO)
+    return B.with_calendar(view, calendar).select("hash_id", "date_publication", "annee", "trimestre", "semaine")
+
+
 SLICER = dict(sources=["france_travail", "themuse", "kaggle_linkedin"], contracts=["CDI", "Stage"],
               location="île", date_from="1994-01-01", date_to="1997-12-31")
 
@@ -573,6 +586,7 @@ def q_slicer_detail(spark, sf_dir):
 
 from ..functions.regex import py_strip_sql  # noqa: E402
 from ..operators import similarity as M  # noqa: E402
+from ..operators.search_index import SearchIndex, recommend_indexed  # noqa: E402
 
 TOP_K = 10
 
@@ -615,19 +629,20 @@ def q_cosine_topk(spark, sf_dir):
 MIN_SCORE = 0.35
 
 
-def _hashed_topk_sql(queries: str, k: int, min_score: float, columns: str) -> str:
-    """Top-k documents of each text by the cosine of their token counts in hash buckets."""
+def _hashed_topk_sql(queries: str, k: int, min_score: float, columns: str, corpus: str = "SELECT * FROM documents",
+                     key: str = "doc_id", before: str = "") -> str:
+    """Top-k rows of the corpus for each text by the cosine of their token counts in hash buckets."""
     def counts(table, key, text):
         return (f"SELECT {key}, ('0x' || substr(md5(t), 1, 8))::UBIGINT % {M.DEFAULT_DIMS} AS b, count(*)::DOUBLE AS n FROM (SELECT {key}, "
                 f"unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) GROUP BY ALL")
-    return f"""WITH q AS ({queries}), qt AS ({counts('q', 'query_id', 'text')}), dt AS ({counts('documents', 'doc_id', 'text')}),
-qn AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qt GROUP BY ALL), dn AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM dt GROUP BY ALL),
-dots AS (SELECT query_id, doc_id, sum(qt.n * dt.n) AS dot FROM qt JOIN dt USING (b) GROUP BY ALL),
-s AS (SELECT query_id, doc_id, coalesce(dot / (qn.l * dn.l), 0.0) AS score
-      FROM (SELECT query_id, doc_id FROM q, documents) LEFT JOIN dots USING (query_id, doc_id) LEFT JOIN qn USING (query_id)
-      LEFT JOIN dn USING (doc_id)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, {columns}, round(score, {SCORE_DP}) AS score FROM r JOIN documents USING (doc_id)
+    return f"""WITH {before}corpus AS ({corpus}), q AS ({queries}), qt AS ({counts('q', 'query_id', 'text')}), dt AS ({counts('corpus', key, 'text')}),
+qn AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qt GROUP BY ALL), dn AS (SELECT {key}, sqrt(sum(n * n)) AS l FROM dt GROUP BY ALL),
+dots AS (SELECT query_id, {key}, sum(qt.n * dt.n) AS dot FROM qt JOIN dt USING (b) GROUP BY ALL),
+s AS (SELECT query_id, {key}, coalesce(dot / (qn.l * dn.l), 0.0) AS score
+      FROM (SELECT query_id, {key} FROM q, corpus) LEFT JOIN dots USING (query_id, {key}) LEFT JOIN qn USING (query_id)
+      LEFT JOIN dn USING ({key})),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, {key}) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, {columns}, round(score, {SCORE_DP}) AS score FROM r JOIN corpus USING ({key})
 WHERE rank <= {k} AND score >= {min_score}"""
 
 
@@ -664,6 +679,32 @@ def q_cv_match(spark, sf_dir):
     return hits.withColumn("score", F.round("score", SCORE_DP))
 
 
+@register("corpus_search", _hashed_topk_sql(
+    "SELECT item_id AS query_id, text FROM benchmark", 5, 0.0, "doc_id, lang, source"))
+def q_corpus_search(spark, sf_dir):
+    """S-17, J-07, M-03, O-01: the documents' index is saved, opened again, and searched with every benchmark passage."""
+    docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = shared_path(spark, f"index-{uuid.uuid4().hex}")
+    SearchIndex(spark, path).save(docs, "doc_id", "text")
+    queries = TD.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = recommend_indexed(SearchIndex(spark, path), docs, queries, "doc_id", top_k=5, project=["lang", "source"])
+    return hits.withColumn("score", F.round("score", SCORE_DP))
+
+
+@register("recommend_postings", _hashed_topk_sql(
+    f"SELECT DISTINCT titre AS query_id, titre AS text FROM postings WHERE titre IS NOT NULL AND {py_strip_sql('titre')} <> ''", 10, 0.1,
+    "ingest_seq, titre, entreprise, lieu, contrat, remote, tags, lien",
+    "SELECT ingest_seq, titre, entreprise, lieu, tags AS contrat, remote, tags, lien, coalesce(titre, '') || ' ' || coalesce(description, '') "
+    "|| ' ' || coalesce(tags, '') || ' ' || '' || ' ' || coalesce(secteur, '') AS text FROM postings", "ingest_seq", O.POSTINGS_CTE + ", "))
+def q_recommend_postings(spark, sf_dir):
+    """F-10: each title as a request against the stored corpus of postings; the eight result columns."""
+    p = materialize(M.posting_text(P(spark, sf_dir).withColumns({"categorie": F.lit(None).cast("string"), "contrat": F.col("tags")})), "corpus")
+    queries = p.select(F.col("titre").alias("query_id"), F.col("titre").alias("text")).distinct()
+    index = SearchIndex(spark, shared_path(spark, f"index-{uuid.uuid4().hex}")).save(p, "ingest_seq", "text")
+    hits = recommend_indexed(index, p, queries, "ingest_seq", min_score=0.1)
+    return hits.withColumn("score", F.round("score", SCORE_DP))
+
+
 @register("embedding_text", O.with_postings(
     "SELECT ingest_seq, coalesce(titre, '') || ' ' || coalesce(description, '') || ' ' || coalesce(tags, '') "
     "|| ' ' || '' || ' ' || coalesce(secteur, '') AS text FROM postings"))
@@ -676,7 +717,7 @@ def q_embedding_text(spark, sf_dir):
 # Sink, stream, joins, connectors (S-*, J-01, J-05, ST-01)
 # ---------------------------------------------------------------------------
 
-from ..session import shared_path  # noqa: E402
+from ..session import set_file_times, shared_path  # noqa: E402
 from ..sources import keyed_table as K  # noqa: E402
 from ..streaming import ingest as ST  # noqa: E402
 import uuid  # noqa: E402
@@ -1015,6 +1056,42 @@ def q_conform_union(spark, sf_dir):
     return merge_stage(load_sources(spark, paths, "1970-01-01")).select(*UNION_COLS)
 
 
+GATE_DATE, STALE = "2021-01-01", 1_577_836_800_000          # files of the day before are dated 2020-01-01
+
+
+@register("freshness_gate", O.with_postings(
+    "SELECT lien, date_creation, source FROM postings WHERE source IS NOT NULL AND (ingest_seq % 2 = 1 OR source = 'kaggle_linkedin')"))
+def q_freshness_gate(spark, sf_dir):
+    """S-09: every source has landed twice; what is older than the run date is left out, but not of a static source."""
+    from ..sources.landing import load_sources, write_csv
+    root = shared_path(spark, f"fresh-{uuid.uuid4().hex}")
+    p = P(spark, sf_dir)
+    paths = {s: f"{root}/{s}" for s in V.SOURCE_ORDER}
+    for source, path in paths.items():
+        for part in (0, 1):
+            own = p.where((F.col("source") == source) & (F.col("ingest_seq") % 2 == part))
+            write_csv(own.select("titre", "entreprise", "lien", "date_creation"), f"{path}/run={part}")
+        set_file_times(spark, f"{path}/run=0", STALE)
+    return load_sources(spark, paths, GATE_DATE).select("lien", "date_creation", "source")
+
+
+@register("preferred_input", O.with_postings(
+    "SELECT 'both' AS landed, hash_id, lower(source) AS source FROM postings UNION ALL SELECT 'merged', hash_id, source FROM postings "
+    "WHERE ingest_seq % 2 = 0"))
+def q_preferred_input(spark, sf_dir):
+    """S-16: the transformed output is read where there is one, else the merged one."""
+    from ..sources.landing import preferred_input
+    root = shared_path(spark, f"inputs-{uuid.uuid4().hex}")
+    p = P(spark, sf_dir).select("hash_id", "source", "ingest_seq")
+    p.drop("ingest_seq").withColumn("source", F.lower("source")).write.parquet(f"{root}/both/transformed")
+    merged = p.where("ingest_seq % 2 = 0").drop("ingest_seq")
+    for landed in ("both", "merged"):
+        merged.write.parquet(f"{root}/{landed}/merged")
+    read = [spark.read.parquet(preferred_input(spark, f"{root}/{x}/transformed", f"{root}/{x}/merged")).withColumn("landed", F.lit(x))
+            for x in ("both", "merged")]
+    return read[0].unionByName(read[1])
+
+
 # The Muse, Arbeitnow, Remotive, SerpApi connectors over postings rendered as landed pages
 # (S-04..S-07, C-12, C-13, C-18, C-19)
 MUSE_CATEGORIES = list(V.THEMUSE_SECTORS)
