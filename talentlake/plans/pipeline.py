@@ -9,7 +9,8 @@ lost executor only replays the stage it was in.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections import Counter
+from collections.abc import Collection, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,10 @@ def connector_counts(landed: DataFrame) -> DataFrame:
 
 
 # A-11
-def run_report(landed: DataFrame, merged: DataFrame, written: DataFrame | None = None) -> DataFrame:
+def run_report(landed: DataFrame, merged: DataFrame, written: DataFrame | None = None,
+               skipped: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """(stage, source, n): raw rows of each registered source (0 when absent), raw total,
-    rows after the merge, rows written."""
+    rows after the merge, rows written; for each source with skipped files their number."""
     sources = landed.sparkSession.createDataFrame([(s,) for s in V.SOURCE_ORDER], "source string")
     raw = landed.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     per_source = (sources.join(raw, "source", "left")
@@ -73,6 +75,10 @@ def run_report(landed: DataFrame, merged: DataFrame, written: DataFrame | None =
     if written is not None:
         out = out.unionByName(written.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit("written").alias("stage"), F.lit(None).cast("string").alias("source"), "n"))
+    if skipped:
+        counts = Counter(source for source, _, _ in skipped)
+        out = out.unionByName(landed.sparkSession.createDataFrame([("skipped", s, n) for s, n in counts.items()],
+                                                                  "stage string, source string, n bigint"))
     return out
 
 
@@ -110,9 +116,11 @@ def run_connectors(spark: SparkSession, raw_paths: Mapping[str, str], out_dir: s
 
 def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str, table_path: str,
               run_date: str | None = None) -> dict:
-    """One daily run: load every landed source, merge, transform, insert-ignore; returns the run report."""
+    """One daily run: load every landed source, merge, transform, insert-ignore; returns the run report
+    and the ledger of skipped files, (source, file, error)."""
     run_date = run_date or date.today().isoformat()
-    landed = load_sources(spark, landed_paths, run_date)
+    skipped: list[tuple[str, str, str]] = []
+    landed = load_sources(spark, landed_paths, run_date, skipped)
     landed.write.mode("overwrite").parquet(f"{run_dir}/landed")
     landed = spark.read.parquet(f"{run_dir}/landed")
     merge_stage(landed).write.mode("overwrite").parquet(f"{run_dir}/merged")
@@ -121,5 +129,5 @@ def run_daily(spark: SparkSession, landed_paths: Mapping[str, str], run_dir: str
         .write.mode("overwrite").parquet(f"{run_dir}/transformed")
     transformed = spark.read.parquet(f"{run_dir}/transformed")
     written = insert_ignore(transformed, table_path)
-    report = {(r.stage, r.source): r.n for r in run_report(landed, merged, transformed).collect()}
-    return {"report": report, "sink": written}
+    report = {(r.stage, r.source): r.n for r in run_report(landed, merged, transformed, skipped).collect()}
+    return {"report": report, "sink": written, "skipped": skipped}

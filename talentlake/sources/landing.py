@@ -1,7 +1,8 @@
 """Landed source files -> one conformed DataFrame (S-01, S-02, S-09..S-13, S-16).
 
 Each source is one path (a file or a folder of files). Loading is tolerant
-(missing, unreadable or empty sources are skipped; none at all is an error),
+(missing or empty sources and unreadable files are skipped and named in a ledger;
+no source at all is an error),
 freshness-gated on the file modification date (static dumps exempt), tagged
 with its source name, hash-backfilled, conformed to the canonical columns and
 unioned by name. Landing order is kept in ``ingest_seq`` so keep-first
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
+from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -23,7 +26,7 @@ from ..functions import fixed as V
 from ..functions.coerce import posting_hash
 from ..operators.quality import clean_null_tokens
 from ..schema import LANDED
-from ..session import path_exists
+from ..session import materialize, path_exists
 
 log = logging.getLogger(__name__)
 
@@ -36,27 +39,37 @@ def _file_errors(e: Exception) -> set[str]:
     return {name for name in UNREADABLE if name in str(e)}
 
 
-def _read(name: str, read: Callable):
-    """``read()``, or None where it fails because of the file: it is absent, or two reads fail in the same way."""
+def _first_line(e: Exception) -> str:
+    return str(e).splitlines()[0][:200]
+
+
+def _read_files(files: list[str], read: Callable[[list[str]], DataFrame], skipped: list[tuple[str, str]]) -> list[DataFrame]:
+    """``read`` over ``files`` together or, where a file fails, over halves of them, down to the file that does.
+
+    A file is left out, and named in ``skipped`` with its error, when reading it alone fails twice in the same way;
+    any other failure is raised. So b broken files of n cost some b log n reads, and none where all are sound."""
+    if not files:
+        return []
     try:
-        return read()
-    except AnalysisException as e:
-        error = e
-    except (PySparkException, Py4JJavaError) as e:
+        return [read(files)]
+    except (AnalysisException, PySparkException, Py4JJavaError) as e:
         if not _file_errors(e):
             raise
-        try:
-            return read()
-        except (PySparkException, Py4JJavaError) as again:
-            if _file_errors(again) != _file_errors(e):
-                raise
-            error = again
-    log.warning("source %s skipped: unreadable (%s)", name, str(error).splitlines()[0][:200])
-    return None
+        error = e
+    if len(files) > 1:
+        half = len(files) // 2
+        return _read_files(files[:half], read, skipped) + _read_files(files[half:], read, skipped)
+    try:
+        return [read(files)]
+    except (AnalysisException, PySparkException, Py4JJavaError) as again:
+        if _file_errors(again) != _file_errors(error):
+            raise
+    skipped.append((files[0], _first_line(error)))
+    return []
 
 
 # S-01
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
     """Header CSV with quoted multi-line cells and doubled quotes; text columns unless a schema is given.
 
     Cells that stand for a missing value are null from here on, so that hashes,
@@ -115,36 +128,45 @@ def fresh_only(df: DataFrame, run_date: str) -> DataFrame:
 
 
 # S-10 (one source)
-def load_source(spark: SparkSession, name: str, path: str, run_date: str,
-                static: bool | None = None) -> DataFrame | None:
+def load_source(spark: SparkSession, name: str, path: str, run_date: str, static: bool | None = None,
+                skipped: list[tuple[str, str, str]] | None = None) -> DataFrame | None:
+    """The rows of a landed source, written once; None if it is missing, empty or stale. An unreadable file loses only
+    itself: it is logged, and (source, file, error) is appended to ``skipped``, as is a missing source."""
     static = name in V.STATIC_SOURCES if static is None else static
-    if not path_exists(spark, path):
-        log.warning("source %s skipped: missing", name)
-        return None
-    df = _read(name, lambda: read_csv(spark, path))
-    if df is None:
-        return None
-    if not static:
-        df = fresh_only(df, run_date)
-    # Landing order: file name first (crawlers name files in crawl order), then the
-    # row's position, numbered by input split (splits follow file offsets).
-    df = df.withColumn("ingest_seq", F.struct(F.col("_metadata.file_path").alias("file"),
-                                              F.monotonically_increasing_id().alias("pos")))
-    empty = _read(name, df.isEmpty)               # a file may only fail once read; other failures fail the run
-    if empty is None:
-        return None
-    if empty:
-        log.warning("source %s skipped: empty or stale", name)
+    ledger: list[tuple[str, str]] = []
+
+    def read(files: list[str]) -> DataFrame:
+        df = read_csv(spark, files)
+        if not static:
+            df = fresh_only(df, run_date)
+        # Landing order: file name first (crawlers name files in crawl order), then the
+        # row's position, numbered by input split (splits follow file offsets).
+        return materialize(df.withColumn("ingest_seq", F.struct(F.col("_metadata.file_path").alias("file"),
+                                                                F.monotonically_increasing_id().alias("pos"))), f"source-{name}")
+
+    if path_exists(spark, path):
+        # text has a schema of its own, so listing opens no file
+        parts = _read_files(sorted(map(unquote, spark.read.text(path).inputFiles())), read, ledger)
+    else:
+        parts = ledger.append((path, "missing")) or []
+    for file, error in ledger:
+        log.warning("source %s: %s skipped: %s", name, file, error)
+    if skipped is not None:
+        skipped.extend((name, file, error) for file, error in ledger)
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else None
+    if df is None or df.isEmpty():
+        log.warning("source %s skipped: missing, empty or stale", name)
         return None
     return backfill_hash(tag_source(df, name))
 
 
 # S-10 + U-01
-def load_sources(spark: SparkSession, paths: Mapping[str, str], run_date: str) -> DataFrame:
-    """Union of every loadable source, conformed, in registry order."""
+def load_sources(spark: SparkSession, paths: Mapping[str, str], run_date: str,
+                 skipped: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Union of every loadable source, conformed, in registry order; ``skipped`` as in :func:`load_source`."""
     frames = []
     for name, path in paths.items():
-        df = load_source(spark, name, path, run_date)
+        df = load_source(spark, name, path, run_date, skipped=skipped)
         if df is not None:
             frames.append(conform(df))
     if not frames:

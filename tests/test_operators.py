@@ -193,8 +193,10 @@ def test_only_failures_that_a_second_read_repeats_skip_a_source():
         return read
 
     lost = "java.io.EOFException: connection to the storage node broke"
-    assert L._read("s", reader(lost, 7)) == 7
-    assert L._read("s", reader(lost, lost)) is None
+    ledger = []
+    one = lambda read: L._read_files(["f"], lambda files: read(), ledger)
+    assert one(reader(lost, 7)) == [7] and ledger == []
+    assert one(reader(lost, lost)) == [] and ledger == [("f", lost)]
     for outcomes in (("worker lost", 7), (lost, "worker lost")):
         with pytest.raises(PySparkException):
-            L._read("s", reader(*outcomes))
+            one(reader(*outcomes))
