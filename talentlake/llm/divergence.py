@@ -45,7 +45,7 @@ SHARD_TERMS = 1 << 16
 BUNDLE_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 18
 TOP_TERMS = 200
-FLUSH_TERMS = 1 << 18                          # distinct terms that a task holds before it passes their counts on
+FLUSH_TERMS = 1 << 19                          # distinct terms that a task holds before it passes their counts on
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -55,22 +55,20 @@ def terms_of(text: bytes) -> list[bytes]:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, body) to (lang, term, n): documents that hold the term, summed while they fit in a task."""
-    found: Counter = Counter()
+    found: dict[str, Counter] = defaultdict(Counter)
 
-    def flush() -> pa.RecordBatch:
-        columns = zip(*((k, t.decode(), n) for (k, t), n in found.items()))
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))],
-                                           names=["lang", "term", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, counts in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()).cast(pa.string()),
+                                              pa.array(counts.values(), pa.int64())], names=["lang", "term", "n"])
         found.clear()
-        return batch
 
     for batch in batches:
         for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist()):
-            found.update([(lang, t) for t in set(terms_of(body))])
-            if len(found) > FLUSH_TERMS:
-                yield flush()
-    if found:
-        yield flush()
+            found[lang].update(set(terms_of(body)))
+            if sum(map(len, found.values())) > FLUSH_TERMS:
+                yield from flush()
+    yield from flush()
 
 
 def kept_terms(rows: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -159,11 +157,12 @@ def _recount(bundle: Broadcast):
             for lang, of in held.items():
                 words = list(set().union(*of.values()))
                 number = dict(zip(words, shards.ordinals(lang, words).tolist()))
-                rows = [(source, number[w], n) for source, counts in of.items() for w, n in counts.items() if number[w] != NO_WORD]
-                sources, ordinals, n = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(sources, pa.string()),
-                                                  pa.array(ordinals, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["lang", "source", "ordinal", "n"])
+                for source, counts in of.items():
+                    at = np.fromiter(map(number.__getitem__, counts), np.int64, len(counts))
+                    kept = at != NO_WORD
+                    at, n = at[kept], np.fromiter(counts.values(), np.int64, len(counts))[kept]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()).take(pa.array(np.zeros(len(at), np.int32))) for x in (lang, source)),
+                                                      pa.array(at), pa.array(n)], names=["lang", "source", "ordinal", "n"])
             held.clear()
 
         for batch in batches:
@@ -217,23 +216,34 @@ def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _pairs(block: pa.Table) -> pa.Table:
-    """One block of one language: rows (source, ordinal, n), a row of ordinal -1 and n = N for every source, and
-    ``terms`` and ``vocabulary``, the block's and the language's number of kept terms; sums for each pair of sources."""
-    source, ordinal, n = (block.column(c).to_numpy() for c in ("number", "ordinal", "n"))
-    head = ordinal < 0
-    of = np.sort(source[head])
-    total = np.zeros(len(of), np.int64)
-    total[np.searchsorted(of, source[head])] = n[head]
-    kept, width = block.column("vocabulary")[0].as_py(), block.column("terms")[0].as_py()
-    low = block.column("block")[0].as_py() * block.column("step")[0].as_py()
-    counts = np.zeros((len(of), width), np.int64)
-    counts[np.searchsorted(of, source[~head]), ordinal[~head] - low] = n[~head]
-    p = shares(counts, (total + kept)[:, None])
-    sums = np.stack([divergences(row, p).sum(axis=1) for row in p])
-    one, other = np.nonzero(~np.eye(len(of), dtype=bool))
-    return pa.table({"lang": pa.array([block.column("lang")[0].as_py()] * len(one), pa.string()), "number": pa.array(of[one]),
-                     "other": pa.array(of[other]), "value": pa.array(sums[one, other])})
+def _audit_block(top: int):
+    """One block of one language: rows (number, ordinal, n), a row of ordinal -1 and n = N for every source, and in each row
+    the block's first ordinal ``low`` and number of ``terms``, the language's N as ``whole`` and number of kept terms as
+    ``vocabulary``. Gives (lang, part, number, item, value): sums for each pair of sources, item the other's number, and
+    each source's ``top`` terms of the block, item the ordinal."""
+    def run(block: pa.Table) -> pa.Table:
+        number, ordinal, n = (block.column(c).to_numpy() for c in ("number", "ordinal", "n"))
+        lang, low, width, whole, kept = (block.column(c)[0].as_py() for c in ("lang", "low", "terms", "whole", "vocabulary"))
+        head = ordinal < 0
+        of, first = np.unique(number[head], return_index=True)
+        counts = np.zeros((len(of), width), np.int64)
+        counts[np.searchsorted(of, number[~head]), ordinal[~head] - low] = n[~head]
+        p = shares(counts, (n[head][first] + kept)[:, None])
+        q = shares(counts.sum(axis=0), np.int64(whole + kept))
+        one, other = np.nonzero(~np.eye(len(of), dtype=bool))
+        sums = np.stack([divergences(row, p).sum(axis=1) for row in p])[one, other]
+        source, term = np.nonzero((counts > 0) & (p > q))
+        value = divergences(p[source, term], q[term])
+        order = np.lexsort((term, -value, source))
+        source, term, value = source[order], term[order], value[order]
+        rank = np.arange(len(source)) - np.searchsorted(source, source)
+        source, term, value = (x[rank < top] for x in (source, term, value))
+        rows = len(one) + len(source)
+        return pa.table({"lang": pa.array([lang] * rows, pa.string()), "part": pa.array(["pair"] * len(one) + ["term"] * len(source), pa.string()),
+                         "number": pa.array(np.concatenate([of[one], of[source]])), "item": pa.array(np.concatenate([of[other], term + low])),
+                         "value": pa.array(np.concatenate([sums, value]))})
+
+    return run
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST_DOCS,
@@ -243,46 +253,42 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     rows = docs.select(text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), text_of(text_col).cast("binary").alias("body"))
     kept = kept_terms(rows, least)
     shards = vocabulary(kept, shard_terms, bundle_bytes)
-    counts = materialize(recount(rows, shards), "term-counts")
+    counts = recount(rows, shards)
     sizes = shards.groupBy("lang").agg(F.sum("n").alias("vocabulary"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.groupBy("lang", "source").count().drop("count").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = materialize(groups.select("lang", "source", F.dense_rank().over(Window.partitionBy("lang").orderBy("source")).cast("bigint").alias(
-        "number"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary")), "groups")
+    # sources are numbered in their order
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint")
+    groups = materialize(groups.select("lang", "source", number.alias("number"), F.coalesce("total", F.lit(0)).alias("total"),
+                                       F.coalesce("vocabulary", F.lit(0)).alias("vocabulary")), "groups")
     langs = groups.groupBy("lang").agg(F.max("number").alias("sources"), F.sum("total").alias("whole"), F.max("vocabulary").alias("vocabulary"))
     langs = materialize(langs.withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(block_cells) / F.col("sources")))), "langs")
-    named = groups.select("lang", "number", "source")
 
-    # pairs: blocks of terms, each with every source's N, and at least one block for a language
-    cells = counts.join(named, ["lang", "source"]).join(langs.select("lang", "step"), "lang").select(
+    # blocks of terms, each with every source's N
+    cells = counts.join(groups.select("lang", "source", "number"), ["lang", "source"]).join(langs.select("lang", "step"), "lang").select(
         "lang", F.floor(F.col("ordinal") / F.col("step")).alias("block"), "number", "ordinal", "n")
-    blocks = langs.filter("vocabulary > 0").select("lang", "step", "vocabulary", F.explode(F.sequence(F.lit(0), F.floor(
-        (F.col("vocabulary") - 1) / F.col("step")))).alias("block"))
-    heads = blocks.join(groups.select("lang", "number", "total"), "lang").select("lang", "block", "number", F.lit(-1).cast("bigint").alias(
-        "ordinal"), F.col("total").alias("n"))
-    whole = cells.unionByName(heads).join(langs.select("lang", "step", "vocabulary"), "lang").withColumn(
-        "terms", F.least("step", F.col("vocabulary") - F.col("block") * F.col("step")))
-    summed = whole.groupBy("lang", "block").applyInArrow(_pairs, "lang string, number bigint, other bigint, value bigint")
+    blocks = langs.filter("vocabulary > 0").select("lang", F.explode(F.sequence(F.lit(0), F.floor((F.col("vocabulary") - 1) / F.col("step"))))
+                                                   .alias("block"))
+    heads = blocks.join(groups, "lang").select("lang", "block", "number", F.lit(-1).cast("bigint").alias("ordinal"), F.col("total").alias("n"))
+    low = F.col("block") * F.col("step")
+    whole = cells.unionByName(heads).join(langs.select("lang", "step", "whole", "vocabulary"), "lang").withColumns(
+        {"low": low, "terms": F.least(F.col("step"), F.col("vocabulary") - low)})
+    found = materialize(whole.groupBy("lang", "block").applyInArrow(
+        _audit_block(top), "lang string, part string, number bigint, item bigint, value bigint"), "audited-blocks")
+
+    by_value = Window.partitionBy("lang", "number").orderBy(F.desc("value"), "item")
     none = groups.filter("vocabulary = 0").select("lang", "number")
-    zero = none.join(none.withColumnRenamed("number", "other"), "lang").filter("number <> other").withColumn("value", F.lit(0).cast("bigint"))
-    pairs = summed.unionByName(zero).groupBy("lang", "number", "other").agg(F.sum("value").alias("value"))
-    by_value = Window.partitionBy("lang", "number").orderBy(F.desc("value"), "other")       # numbers follow the sources' order
-    pairs = pairs.withColumn("rank", F.row_number().over(by_value))
-    pairs = pairs.join(named, ["lang", "number"]).join(named.select("lang", F.col("number").alias("other"), F.col("source").alias("item")),
-                                                       ["lang", "other"])
-
-    # terms: shares against the language's, ties by ordinal
-    share = lambda n, of: F.expr(f"CAST(1 + (CAST({n} + 1 AS DECIMAL(28, 0)) * {SCALE}) DIV ({of} + vocabulary) AS BIGINT)")
-    in_lang = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("all"))
-    both = counts.join(in_lang, ["lang", "ordinal"]).join(groups.select("lang", "source", "total", "vocabulary"), ["lang", "source"])
-    both = both.join(langs.select("lang", "whole"), "lang").select("lang", "source", "ordinal", share("n", "total").alias("p"),
-                                                                   share("all", "whole").alias("q")).filter("p > q")
-    both = both.select("lang", "source", "ordinal", F.expr("((p - q) * (p - q)) DIV q").alias("value"))
-    first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal")
-    best = materialize(both.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top), "top-terms")
-    terms = spelled(best, shards)
-    shape = ["lang", "source", "part", "item", "value", "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(shape).unionByName(terms.withColumn("part", F.lit("term")).select(shape))
+    zero = none.join(none.withColumnRenamed("number", "item"), "lang").filter("number <> item").withColumn("value", F.lit(0).cast("bigint"))
+    pairs = found.filter("part = 'pair'").select("lang", "number", "item", "value").unionByName(zero)
+    pairs = pairs.groupBy("lang", "number", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(by_value))
+    other = groups.select("lang", F.col("number").alias("item"), F.col("source").alias("other"))
+    pairs = pairs.join(other, ["lang", "item"]).drop("item").withColumnRenamed("other", "item")
+
+    terms = found.filter("part = 'term'").select("lang", "number", "item", "value").withColumn("rank", F.row_number().over(by_value))
+    terms = materialize(terms.filter(F.col("rank") <= top).withColumnRenamed("item", "ordinal"), "top-terms")
+    terms = spelled(terms, shards).drop("ordinal")
+    out = pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
+    return out.join(groups.select("lang", "number", "source"), ["lang", "number"]).select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
