@@ -24,7 +24,7 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -46,24 +46,36 @@ WIDE_GROUP = 256               # links above which a group is counted by distinc
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+# Fixed value: how byte-level BPE of this kind splits a text before merging.
+SPLITTER = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
-    """A byte-level BPE of the ``tokenizers`` library; a space is put before the text."""
+    """A byte-level BPE vocabulary file whose ids follow its merges, so that they are the merges' ranks; a space is
+    put before the text. Special tokens are no part of it: their strings in a text are ordinary text."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"         # Spark spreads the work
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True                # their strings in a text are ordinary text
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, splitter = file["model"], file["pre_tokenizer"]
+        ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if file["normalizer"] or splitter["type"] != "ByteLevel" or splitter["add_prefix_space"] or ids != sorted(ids):
+            raise ValueError(f"{path} is no byte-level BPE with ids in the order of its merges")
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size())]
-        self.bytes = [bytes(map(byte.__getitem__, n)) if all(c in byte for c in n) else n.encode() for n in names]
-        self.sizes, self.names = [len(x) for x in self.bytes], [str(i) for i in range(len(names))]
+        special = {x["id"] for x in file["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, name)): i for name, i in model["vocab"].items() if i not in special}
+        self.bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        self.sizes, self.names = [len(x) for x in self.bytes], [str(i) for i in range(len(self.bytes))]
+        self.model = tiktoken.Encoding("byte-level", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.model.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces:
