@@ -68,28 +68,47 @@ def _times(column: pa.Array, idf: np.ndarray, v: np.ndarray) -> Iterator[tuple[n
 
 
 def _tree_sum(coded: DataFrame, partial: Callable[[Iterator[pa.Array]], np.ndarray], dims: int) -> np.ndarray:
-    """The sum over tasks of ``partial``, an array of ``dims`` rows: added in a tree of FAN_IN, in BLOCKS pieces."""
+    """The sum over tasks of ``partial``, an array of ``dims`` rows: added in a tree of FAN_IN, in BLOCKS pieces.
+    Only rows that are not zero move, so a task of few texts sends little."""
+    size = -(-dims // BLOCKS)
+
+    def packed(block: int, at: np.ndarray, values: np.ndarray) -> list:
+        return [pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = partial(b.column(0) for b in batches)
-        for i, piece in enumerate(np.array_split(total, BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["block", "packed"])
+        for block in range(BLOCKS):
+            piece = total[block * size:(block + 1) * size]
+            at = np.flatnonzero(piece.any(axis=1))
+            if len(at):
+                yield pa.RecordBatch.from_arrays(packed(block, at, piece[at]), names=["block", "at", "packed"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(table.column("packed")[0].as_py()) // 8)
-        for x in table.column("packed"):
-            total += np.frombuffer(x.as_py())
-        return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "packed": pa.array([total.tobytes()], pa.binary())})
+        total = None
+        for at, values in zip(table.column("at").to_pylist(), table.column("packed").to_pylist()):
+            at = np.frombuffer(at, np.int32)
+            values = np.frombuffer(values).reshape(len(at), -1)
+            total = np.zeros((size, values.shape[1])) if total is None else total
+            total[at] += values
+        at = np.flatnonzero(total.any(axis=1))
+        columns = packed(table.column("block")[0].as_py(), at, total[at])
+        return pa.table([columns[0], table.column("task").combine_chunks()[:1], *columns[1:]], names=["block", "task", "at", "packed"])
 
     tasks = coded.rdd.getNumPartitions()
-    parts = coded.select("vec").mapInArrow(run, "block int, packed binary").withColumn("task", F.spark_partition_id())
+    parts = coded.select("vec").mapInArrow(run, "block int, at binary, packed binary").withColumn("task", F.spark_partition_id())
     while True:
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("block", "task").applyInArrow(
-            add, "block int, task int, packed binary")
+            add, "block int, task int, at binary, packed binary")
         if tasks <= 1:
             break
-    found = sorted((r["block"], bytes(r["packed"])) for r in parts.select("block", "packed").collect())     # BLOCKS rows
-    return np.concatenate([np.frombuffer(x) for _, x in found]).reshape(dims, -1) if found else np.zeros((dims, 1))
+    out = None
+    for r in parts.select("block", "at", "packed").collect():            # BLOCKS rows at most
+        at = np.frombuffer(r["at"], np.int32)
+        values = np.frombuffer(r["packed"]).reshape(len(at), -1)
+        out = np.zeros((size * BLOCKS, values.shape[1])) if out is None else out
+        out[r["block"] * size + at] = values
+    return np.zeros((dims, 2)) if out is None else out[:dims]
 
 
 class LearnedEncoder:
@@ -100,8 +119,12 @@ class LearnedEncoder:
 
     @classmethod
     def fit(cls, corpus: DataFrame, text_col: str, dims: int = DIMS, rank: int = RANK, rounds: int = ROUNDS, seed: int = SEED) -> LearnedEncoder:
-        context = corpus.sparkSession.sparkContext
-        coded = materialize(encode(corpus, text_col, "vec", dims).select("vec"), "coded-corpus")
+        return cls.fit_coded(materialize(encode(corpus, text_col, "vec", dims).select("vec"), "coded-corpus"), dims, rank, rounds, seed)
+
+    @classmethod
+    def fit_coded(cls, coded: DataFrame, dims: int = DIMS, rank: int = RANK, rounds: int = ROUNDS, seed: int = SEED) -> LearnedEncoder:
+        """From a written table with the bucket lists ``vec`` of :func:`similarity.encode`; it is read once a round."""
+        context = coded.sparkSession.sparkContext
 
         def holding(columns: Iterator[pa.Array]) -> np.ndarray:
             total = np.zeros((dims, 2))                                # rows with the bucket; rows, in the first cell
@@ -111,7 +134,7 @@ class LearnedEncoder:
             return total
 
         held = _tree_sum(coded, holding, dims)
-        n = held[0, 1] if held.shape[1] > 1 else 0.0
+        n = held[0, 1]
         idf = np.log((1 + n) / (1 + held[:, 0])) + 1
         width = min(rank + OVERSAMPLE, dims)
         v = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, width)))[0]
@@ -144,7 +167,12 @@ class LearnedEncoder:
 
     def vectors_of(self, rows: DataFrame, key_col: str, text_col: str, out: str = "embedding") -> DataFrame:
         """(key, vector) of each row: its weighted counts times the singular vectors."""
-        dims, kind = len(self.idf), rows.schema[key_col].dataType.simpleString()
+        coded = encode(rows.select(key_col, text_col), text_col, "vec", len(self.idf)).select(key_col, "vec")
+        return self.vectors_of_coded(coded, key_col, out)
+
+    def vectors_of_coded(self, coded: DataFrame, key_col: str, out: str = "embedding") -> DataFrame:
+        """:meth:`vectors_of` over (key, ``vec``), the bucket lists of :func:`similarity.encode`."""
+        kind, rows = coded.schema[key_col].dataType.simpleString(), coded.select(key_col, "vec")
         sent = rows.sparkSession.sparkContext.broadcast((self.idf, self.vectors))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,5 +182,4 @@ class LearnedEncoder:
                 ends = pa.array(np.arange(len(y) + 1) * v.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=[key_col, out])
 
-        coded = encode(rows.select(key_col, text_col), text_col, "vec", dims).select(key_col, "vec")
-        return coded.mapInArrow(run, f"`{key_col}` {kind}, `{out}` array<double>")
+        return rows.mapInArrow(run, f"`{key_col}` {kind}, `{out}` array<double>")

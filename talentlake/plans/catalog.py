@@ -586,7 +586,7 @@ def q_slicer_detail(spark, sf_dir):
 
 from ..functions.regex import py_strip_sql  # noqa: E402
 from ..operators import similarity as M  # noqa: E402
-from ..operators.encoder import LearnedEncoder  # noqa: E402
+from ..operators.encoder import DIMS, LearnedEncoder  # noqa: E402
 from ..operators.search_index import SearchIndex, recommend_indexed  # noqa: E402
 
 TOP_K = 10
@@ -710,8 +710,9 @@ def q_recommend_postings(spark, sf_dir):
 def q_learned_recommend(spark, sf_dir):
     """M-01: every benchmark passage against all documents by vectors learnt from the documents (IDF and truncated SVD)."""
     docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    model = LearnedEncoder.fit(docs, "text")
-    vectors = materialize(model.vectors_of(docs, "doc_id", "text"), "learned-vectors")
+    coded = materialize(M.encode(docs, "text", "vec", DIMS).select("doc_id", "vec"), "coded-documents")
+    model = LearnedEncoder.fit_coded(coded)
+    vectors = model.vectors_of_coded(coded, "doc_id")
     queries = TD.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = M.top_k_similar(vectors, model.vectors_of(queries, "query_id", "text"), 5, "doc_id")
     return docs.select("doc_id", "lang", "source").join(hits, "doc_id").withColumn("score", F.round("score", SCORE_DP))
