@@ -48,3 +48,14 @@ def test_reports_have_no_nested_loop_joins(spark):
     for name in ["stats_report", "mtd", "merge_report", "run_report", "contract_split", "mom_growth"]:
         p = plan(catalog.QUERIES[name](spark, SF_SMALL))
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
+def test_core_queries_work_without_the_packages_of_the_optional_ones():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.modules['xxhash'] = None; import __spark_entry__ as E; "
+            "assert 'source_count' in E.queries() and not any(n.startswith('op') and n[2].isdigit() for n in E.queries())")
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": root})
