@@ -4,8 +4,8 @@ Imputation (C-08) = per-row estimate (C-07), then for rows still without one
 the exact median of their (secteur, contrat_type) group (A-05), else the
 global median (A-06) (J-04). The group medians come from
 :func:`talentlake.operators.aggregate.exact_median` (bounded state per group,
-however skewed); the result table has one row per group, is checkpointed and
-counted, and is broadcast only when that count is under the bound.
+however skewed); the result table has one row per group and is written, so that
+the planner knows its size and broadcasts it only below its threshold.
 """
 
 from __future__ import annotations

@@ -85,8 +85,9 @@ def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
-    upstream plan) and gives later passes a columnar, prunable input."""
-    return df.sparkSession.read.parquet(write_shared(df, name))
+    upstream plan) and gives later passes a columnar, prunable input. The schema is
+    known, so no job reads it back from the files."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def path_snapshot(spark: SparkSession, path: str) -> tuple:
