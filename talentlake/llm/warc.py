@@ -9,7 +9,7 @@ member ended, so bytes inside a member are candidates only ahead of a range's
 first record.
 
 Files are reached through :mod:`pyarrow.fs` (local or shared mounts, HDFS,
-object stores). Tasks write under ``_temporary``; the job's commit moves the
+object stores). Tasks write under a folder of their job; the job's commit moves the
 files of the attempts that succeeded, so lost executors and speculative
 attempts leave no partial archive behind.
 
@@ -198,6 +198,7 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, uri: str):
         self.uri = uri
+        self.job = f"_temporary-{uuid.uuid4().hex}"        # of this job alone: others may write to the folder meanwhile
 
     def write(self, batches):
         files, path = filesystem(self.uri)
@@ -206,8 +207,8 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in batches:
                 for row in batch.to_pylist():
                     if out is None:
-                        files.create_dir(f"{path}/_temporary", recursive=True)
-                        out = files.open_output_stream(f"{path}/_temporary/{name}", compression=None)
+                        files.create_dir(f"{path}/{self.job}", recursive=True)
+                        out = files.open_output_stream(f"{path}/{self.job}/{name}", compression=None)
                     out.write(encode_record(row))
         finally:
             if out is not None:
@@ -219,15 +220,15 @@ class WarcWriter(DataSourceArrowWriter):
         files.create_dir(path, recursive=True)
         for message in messages:
             for name in message.names if message else []:
-                files.move(f"{path}/_temporary/{name}", f"{path}/{name}")
+                files.move(f"{path}/{self.job}/{name}", f"{path}/{name}")
         self.abort(messages)
 
     def abort(self, messages):
         from pyarrow import fs
 
         files, path = filesystem(self.uri)
-        if files.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
-            files.delete_dir(f"{path}/_temporary")
+        if files.get_file_info(f"{path}/{self.job}").type == fs.FileType.Directory:
+            files.delete_dir(f"{path}/{self.job}")
 
 
 class WarcSource(DataSource):

@@ -73,3 +73,17 @@ def test_ranges_own_each_record_once_past_garbage():
 
 def test_unparsable_members_are_no_records():
     assert decode_record(b"hello") is None and decode_record(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n\r\n") is None
+
+
+def test_writers_leave_each_other_alone(spark, tmpdir_path):
+    """A job that commits while another writes to the same folder removes its own files only."""
+    from talentlake.llm.warc import WarcWriter
+
+    path = f"{tmpdir_path}/w"
+    first, second = (warc_records(pages(spark, [(k, "u", f"page {k}", "", 0)])).toArrow().to_batches() for k in (1, 2))
+    a, b = WarcWriter(path), WarcWriter(path)
+    waiting = a.write(iter(first))
+    b.commit([b.write(iter(second))])
+    b.abort([])
+    a.commit([waiting])
+    assert sorted(r.record_id for r in read_warc(spark, path).collect()) == ["urn:page:1", "urn:page:2"]
