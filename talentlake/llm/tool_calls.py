@@ -129,7 +129,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Lines for ``calls`` (conv_id, call_id, seq, name, arguments: JSON text, depends_on: array of identifiers) and
     ``results`` (conv_id, call_id, seq, content): conv_id, call_id, seq, kind (call or result), level, linked,
-    errors, record. Results are lines of their own only where no call has them."""
+    errors, record. Results are lines of their own only where no call has them. Other columns are not read."""
+    calls = calls.select("conv_id", "call_id", "seq", "name", "arguments", "depends_on")
+    results = results.select("conv_id", "call_id", "seq", "content")
     first = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
         F.min(F.struct(F.col("seq").alias("result_seq"), F.col("content"))).alias("result"))
     parsed = calls.withColumn("args", F.try_parse_json(F.col("arguments")))

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from talentlake.llm.tool_calls import SCHEMAS, call_levels, calls_of, link_calls, message_lines
 
 CALL = "conv_id bigint, call_id string, seq bigint, name string, arguments string, depends_on array<string>"
@@ -75,3 +77,13 @@ def test_turns(spark):
     assert sorted(r.record for r in others.collect()) == ['{"content":"s","role":"system"}', '{"content":null,"role":null}']
     empty = turns.limit(0)
     assert link_calls(*calls_of(empty), SCHEMAS).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "any", "{}", []), (1, "b", 1, "any", "{}", ["a"])], CALL)
+    results = spark.createDataFrame([(1, "a", 1, "done"), (1, "z", 2, "spare")], RESULT)
+    names = ["level", "result", "args", "result_seq", "linked", "errors", "record", "kind", "up", "off", "n"]
+    clash = {n: F.lit("x") for n in names}
+    want = sorted(map(tuple, link_calls(calls, results, TOOLS).collect()), key=repr)
+    assert sorted(map(tuple, link_calls(calls.withColumns(clash), results.withColumns(clash), TOOLS).collect()), key=repr) == want
+    assert len(want) == 3
