@@ -65,6 +65,23 @@ def attach_by_key(rows: DataFrame, stats: DataFrame, key: str, count: str, total
     return in_hot.unionByName(rest.join(cold, key).select(in_hot.columns))
 
 
+def attach_left(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``stats`` (at most one row per key; no key is null).
+
+    A key may hold a third of all rows, also one that ``stats`` lacks. Keys with at least one of HOT_KEYS equal parts of
+    the rows are cut into as many parts as they hold, so no part of a key is more than that share; ``stats`` is repeated
+    for each, 2 * HOT_KEYS times at most in all. Only the hot keys and their number of parts go to every task. ``rows``
+    is read twice: pass a written table or a narrow scan."""
+    sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("__n")), "key-sizes")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    part = max(1, math.ceil(total / HOT_KEYS))
+    hot = F.broadcast(sizes.filter(F.col("__n") >= part).select(key, F.ceil(F.col("__n") / part).alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts)).drop("__parts")
+    spread = stats.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return dealt.join(spread.drop("__parts"), [key, "__part"], "left").drop("__part")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null; the keys of ``left`` stay."""
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

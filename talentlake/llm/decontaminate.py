@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_key, text_of
+from .common import attach_left, materialize, read, text_key, text_of
 
 WINDOW = 10
 GRAM = 5
@@ -197,7 +197,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = hits.select("key", "n_hit").join(listed, "key", "left")
     ids = F.coalesce(F.array_sort("ids"), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return rows.join(marked, "key", "left").select(
+    return attach_left(rows.select("doc_id", "n_words", "key"), marked, "key").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
