@@ -191,14 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.filter(place < (sample_rows / total if total else 0)).withColumn(
         "part", F.pmod(F.crc32(F.concat(F.lit("part:"), F.col("id").cast("string")).cast("binary")), F.lit(20)).cast("int"))
     sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(known, "id")
-    sample = sample.mapInArrow(_with_key, "id " + docs.schema[id_col].dataType.simpleString()
-                               + ", text string, toxic int, part int, near bigint")
+    id_type = sample.schema["id"].dataType.simpleString()
+    sample = sample.mapInArrow(_with_key, f"id {id_type}, text string, toxic int, part int, near bigint")
     # near copies are one example, and of one part: the part of the first id
     sample = materialize(sample, "toxicity-sample")
     first = sample.groupBy("near").agg(F.min("id").alias("id"))
     sample = materialize(sample.join(first, ["near", "id"]).dropDuplicates(["near"]), "toxicity-examples")
     halves = [sample.filter("part < 10"), sample.filter("part >= 10")]
-    described = [half.mapInArrow(_described(lexicon_of(other)), "id bigint, part int, toxic int, x array<double>")
+    described = [half.mapInArrow(_described(lexicon_of(other)), f"id {id_type}, part int, toxic int, x array<double>")
                  for half, other in zip(halves, halves[::-1])]
     rows = described[0].unionByName(described[1]).orderBy("id").collect()      # N_FEATURES numbers for each sample row
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
@@ -216,7 +216,7 @@ def _described(lexicon: dict):
         known: dict = {}
         for batch in batches:
             x = [features(t, lexicon, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("part"),
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"),
                                               batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))],
                                              names=["id", "part", "toxic", "x"])
 

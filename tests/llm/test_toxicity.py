@@ -83,3 +83,13 @@ def test_trees_learn_an_interaction_and_isotonic_rises():
     at = np.linspace(-1, 2, 200)
     assert (np.diff(calibrate(at)) >= 0).all() and abs(calibrate(m).mean() - noisy.mean()) < 0.05
     assert pd.Series(calibrate(at)).between(0, 1).all()
+
+
+def test_ids_of_other_types(spark):
+    """Ids as text: the same documents go."""
+    docs, labels = corpus(600, 3)
+    named = spark.createDataFrame([(f"d{i}", t, p, q) for i, t, p, q in docs], SCHEMA.replace("bigint", "string", 1))
+    marks = spark.createDataFrame([(f"d{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    kept = {r.doc_id for r in drop_toxic(named, marks).collect()}
+    toxic = {f"d{i}" for i, _, t in labels if t}
+    assert len(kept & toxic) <= 0.1 * len(toxic) and len(kept) >= 0.9 * (len(docs) - len(toxic))
