@@ -27,7 +27,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +70,7 @@ class ByteLevel:
         self.bytes = [b""] * (max(model["vocab"].values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
-        self.sizes, self.names = [len(x) for x in self.bytes], [str(i) for i in range(len(self.bytes))]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.model = tiktoken.Encoding("byte-level", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -88,7 +87,7 @@ class Pieces:
         piece = self.model.id_to_piece
         self.bytes = [bytes([int(piece(i)[1:-1], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode()
                       for i in range(self.model.get_piece_size())]
-        self.sizes, self.names = [len(x) for x in self.bytes], [str(i) for i in range(len(self.bytes))]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -100,43 +99,59 @@ def tokenizer(path: str) -> ByteLevel | Pieces:
     return Pieces(path) if path.endswith(".model") else ByteLevel(path)
 
 
-def groups(ids_a: list[int], ids_b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[list[int], list[int]]:
+def groups(ids_a: np.ndarray, ids_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The indices behind each group's last token, in ``ids_a`` and in ``ids_b``."""
-    ends_a = dict(zip(accumulate(map(sizes_a.__getitem__, ids_a)), range(1, len(ids_a) + 1)))
-    ends_b = dict(zip(accumulate(map(sizes_b.__getitem__, ids_b)), range(1, len(ids_b) + 1)))
-    common = sorted(ends_a.keys() & ends_b.keys())
-    return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+    ends_a = dict(zip(np.cumsum(sizes_a[ids_a]).tolist(), range(1, len(ids_a) + 1)))
+    ends_b = dict(zip(np.cumsum(sizes_b[ids_b]).tolist(), range(1, len(ids_b) + 1)))
+    # a dictionary's keys stand in ascending order, so this is their sorted intersection
+    common = list(filter(ends_b.__contains__, ends_a))
+    return tuple(np.fromiter(map(ends.__getitem__, common), np.int64, len(common)) for ends in (ends_a, ends_b))
 
 
-def links(ids_a: list[int], ids_b: list[int], cuts_a: list[int], cuts_b: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct linked pairs (a * width + b), ascending, and the number of links of each."""
-    a, b, to_a, to_b = (np.array(x, np.int64) for x in (ids_a, ids_b, cuts_a, cuts_b))
+def links(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct linked pairs (a * width + b) of groups up to ``to_a`` and ``to_b``, ascending, and the number of links of each."""
+    a, b, to_a, to_b = (np.asarray(x, np.int64) for x in (a, b, to_a, to_b))
     from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
     n_a, n_b = to_a - from_a, to_b - from_b
+    per = n_a * n_b
     codes, times = [], []
-    wide = n_a * n_b > WIDE_GROUP
+    wide = per > WIDE_GROUP
     for g in np.flatnonzero(wide):
         (x, nx), (y, ny) = (np.unique(i[s:e], return_counts=True) for i, s, e in ((a, from_a[g], to_a[g]), (b, from_b[g], to_b[g])))
         codes.append((x[:, None] * width + y).ravel())
         times.append((nx[:, None] * ny).ravel())
-    n_a, n_b, from_a, from_b = n_a[~wide], n_b[~wide], from_a[~wide], from_b[~wide]
-    per = n_a * n_b
+    single = per == 1
+    codes.append(a[from_a[single]] * width + b[from_b[single]])
+    several = ~(wide | single)
+    per, n_b, from_a, from_b = per[several], n_b[several], from_a[several], from_b[several]
     size = np.repeat(n_b, per)
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     codes.append(a[np.repeat(from_a, per) + place // size] * width + b[np.repeat(from_b, per) + place % size])
-    times.append(np.ones(len(codes[-1]), np.int64))
-    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
     if not wide.any():
-        return pairs, np.bincount(at, minlength=len(pairs))
+        return np.unique(np.concatenate(codes), return_counts=True)
+    times += [np.ones(len(x), np.int64) for x in codes[-2:]]
+    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, at, np.concatenate(times))
     return pairs, total
 
 
-def spelled(a: list[str], b: list[str], cuts_a: list[int], cuts_b: list[int]) -> str:
-    """The groups of two lists of decimal ids as ``a1,a2|b1;a3|b2,b3``."""
-    return ";".join([f"{a[i]}|{b[k]}" if j == i + 1 and m == k + 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-                     for i, j, k, m in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b)])
+def _signs(size_a: int, size_b: int) -> list[str]:
+    """The ids of A followed by a comma, of A by a bar, of B by a comma, of B by a semicolon."""
+    return [f"{i}{sign}" for size, sign in ((size_a, ","), (size_a, "|"), (size_b, ","), (size_b, ";")) for i in range(size)]
+
+
+def spelled(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, signs: list[str], size_a: int, size_b: int) -> str:
+    """The groups up to ``to_a`` and ``to_b`` as ``a1,a2|b1;a3|b2,b3``, from ``signs`` of :func:`_signs`.
+
+    Each id stands behind those before it on its side and those of all groups before (for B, with its own) on the other."""
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[to_a - 1], last_b[to_b - 1] = size_a, size_b
+    from_b = np.append(0, to_b[:-1])
+    sign = np.empty(len(a) + len(b), np.int64)
+    sign[np.arange(len(a)) + np.repeat(from_b, np.diff(to_a, prepend=0))] = a + last_a
+    sign[np.arange(len(b)) + np.repeat(to_a, to_b - from_b)] = b + last_b + 2 * size_a
+    return "".join(map(signs.__getitem__, sign.tolist()))[:-1]
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
@@ -155,22 +170,24 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 def _align(path_a: str, path_b: str):
     none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def one(text: str, ids_a: list[int], ids_b: list[int], a: ByteLevel | Pieces, b: ByteLevel | Pieces):
+    def one(text: str, ids_a: list[int], ids_b: list[int], a: ByteLevel | Pieces, b: ByteLevel | Pieces, signs: list[str]):
         body = b" " + text.encode()
         if not text or any(b"".join(map(t.bytes.__getitem__, ids)) != body for t, ids in ((a, ids_a), (b, ids_b))):
             return (0, 0, 0, 0, ""), none
-        cuts = groups(ids_a, ids_b, a.sizes, b.sizes)
-        pairs, times = links(ids_a, ids_b, *cuts, len(b.bytes))
-        shown = spelled(list(map(a.names.__getitem__, ids_a)), list(map(b.names.__getitem__, ids_b)), *cuts)
+        both = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        cuts = groups(*both, a.sizes, b.sizes)
+        pairs, times = links(*both, *cuts, len(b.bytes))
+        shown = spelled(*both, *cuts, signs, len(a.bytes), len(b.bytes))
         digest = hashlib.sha256(shown.encode()).hexdigest()
         return (len(ids_a), len(ids_b), len(cuts[0]), int(times.sum()), digest), (pairs, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizer(path_a), tokenizer(path_b)
+        signs = _signs(len(a.bytes), len(b.bytes))
         for batch in batches:
             done = 0
             for part in _parts(batch.column("body").to_pylist()):
-                rows = [one(*x, a, b) for x in zip(part, a.encode(part), b.encode(part))]
+                rows = [one(*x, a, b, signs) for x in zip(part, a.encode(part), b.encode(part))]
                 ends = pa.array(np.cumsum([0, *(len(p) for _, (p, _) in rows)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for _, x in rows]))) for i in (0, 1)]
                 stats = list(zip(*(s for s, _ in rows)))
