@@ -1042,6 +1042,20 @@ def q_csv_roundtrip(spark, sf_dir):
     return back
 
 
+# S-01 by ranges: cells with quotes, commas and line breaks, in files that are cut anywhere
+@register("csv_ranges", O.with_postings(
+    "SELECT ingest_seq, titre, CASE WHEN ingest_seq % 3 = 0 THEN coalesce(titre, '') || chr(10) || '\"' || coalesce(lieu, '') || "
+    "'\",' || chr(10) || chr(10) || 'end' ELSE description END AS description, lien, hash_id FROM postings"))
+def q_csv_ranges(spark, sf_dir):
+    from ..sources.csv_ranges import read_csv_ranges
+    from ..sources.landing import write_csv
+    path = shared_path(spark, f"csv-ranges-{uuid.uuid4().hex}")
+    cell = F.concat(F.coalesce("titre", F.lit("")), F.lit('\n"'), F.coalesce("lieu", F.lit("")), F.lit('",\n\nend'))
+    write_csv(P(spark, sf_dir).select("ingest_seq", "titre", F.when(F.col("ingest_seq") % 3 == 0, cell).otherwise(
+        F.col("description")).alias("description"), "lien", "hash_id"), path)
+    return read_csv_ranges(spark, path, "ingest_seq long, titre string, description string, lien string, hash_id string")
+
+
 _DIRTY = ["N/A", "NULL", "None", "", "nan"]
 UNION_COLS = ["hash_id", "titre", "entreprise", "lieu", "salaire_min", "salaire_max", "salaire_annuel_estime", "lien", "source"]
 

@@ -92,7 +92,8 @@ def run_connectors(spark: SparkSession, raw_paths: Mapping[str, str], out_dir: s
     written in landing order (a range sort), which the loader reads back: the
     merge's keep-first prefers what was crawled first."""
     from ..sources.connectors import CONNECTORS, check_one_per_file, flatten_linkedin, read_payloads
-    from ..sources.landing import read_csv, write_csv
+    from ..sources.csv_ranges import read_csv_ranges
+    from ..sources.landing import write_csv
     from .. import schema as S
 
     out = {}
@@ -106,10 +107,12 @@ def run_connectors(spark: SparkSession, raw_paths: Mapping[str, str], out_dir: s
         out[name] = target
     if linkedin is not None:
         posts_path, skills_path = linkedin
-        posts = read_csv(spark, posts_path, S.LINKEDIN_POSTINGS)
-        skills = read_csv(spark, skills_path, S.LINKEDIN_SKILLS) if skills_path else None
+        # the dump is one large file of multi-line cells each
+        posts = read_csv_ranges(spark, posts_path, S.LINKEDIN_POSTINGS, position="ingest_seq")
+        skills = read_csv_ranges(spark, skills_path, S.LINKEDIN_SKILLS, position="skills_seq") if skills_path else None
         target = f"{out_dir}/kaggle_linkedin"
-        write_csv(flatten_linkedin(posts, skills, run_date).orderBy("ingest_seq").drop("ingest_seq"), target)
+        flat = flatten_linkedin(posts, skills, run_date, skills_order_col="skills_seq" if skills_path else None)
+        write_csv(flat.orderBy("ingest_seq").drop("ingest_seq"), target)
         out["kaggle_linkedin"] = target
     return out
 
