@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions.coerce import posting_hash
 from ..functions.salary import parse_salary_label
 from ..operators.dedup import keep_first
+from ..operators.joins import spread_join
 from ..operators.quality import blank_title_filter, clean_merged, is_it_keyword, it_filter
 from ..operators.salary import clean_salaries, impute_salaries
 from ..session import materialize
@@ -805,6 +806,22 @@ def q_linkedin_join(spark, sf_dir):
     return o.join(li, o["o_orderkey"].eqNullSafe(li["l_orderkey"]), "left").select("o_orderkey", "l_linenumber")
 
 
+@register("linkedin_join_hot",
+          "SELECT o.o_orderkey, o.link, s.seq FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS link "
+          "FROM orders) o LEFT JOIN (SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_orderkey END AS link, l_linenumber AS seq FROM lineitem "
+          "WHERE l_orderkey % 3 <> 0 OR l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_orderkey % 3 = 0)) s "
+          "ON o.link IS NOT DISTINCT FROM s.link")
+def q_linkedin_join_hot(spark, sf_dir):
+    """J-01: a third of the postings has no link and meets the few skills rows without one, null-safe and with fan-out."""
+    o = TD.table(spark, sf_dir, "orders", spread_out=False).select("o_orderkey")
+    li = TD.table(spark, sf_dir, "lineitem", spread_out=False).select("l_orderkey", F.col("l_linenumber").alias("seq"))
+    some = F.broadcast(li.where("l_orderkey % 3 = 0").agg(F.min("l_orderkey").alias("some")))           # one row
+    li = li.join(some, (F.col("l_orderkey") % 3 != 0) | (F.col("l_orderkey") == F.col("some")))
+    link = lambda c: F.when(F.col(c) % 3 != 0, F.col(c))
+    return spread_join(o.withColumn("link", link("o_orderkey")), li.select(link("l_orderkey").alias("s_link"), "seq"),
+                       "link", "s_link").select("o_orderkey", "link", "seq")
+
+
 # ---------------------------------------------------------------------------
 # Remaining scalars (C-10..C-17, C-20, F-03)
 # ---------------------------------------------------------------------------

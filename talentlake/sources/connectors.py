@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..functions.coerce import first_or_default, list_join, posting_hash
 from ..functions.salary import parse_salary_label
 from ..operators.dedup import dedup_by_title_company, keep_first
-from ..operators.joins import map_lookup
+from ..operators.joins import map_lookup, spread_join
 from ..operators.quality import is_it_keyword
 
 
@@ -219,7 +219,8 @@ def flatten_linkedin(postings: DataFrame, skills: DataFrame | None, run_date: st
         # (the null link, which matches null, would otherwise pair every
         # link-less posting with every link-less skills row).
         sk = keep_first(sk, ["_sk_link"], ["_sk_seq"])
-        p = p.join(sk, p["job_link"].eqNullSafe(sk["_sk_link"]), "left").drop("_sk_link")
+        # postings without a link share the null key, whatever their number
+        p = spread_join(p, sk, "job_link", "_sk_link").drop("_sk_link")
     else:
         p = p.withColumn("job_skills", F.lit(None).cast("string")).withColumn("_sk_seq", F.lit(0))
     titre, lien, contrat = _text(F.col("job_title")), _text(F.col("job_link")), _text(F.col("job_type"))
