@@ -815,8 +815,8 @@ def q_linkedin_join_hot(spark, sf_dir):
     """J-01: a third of the postings has no link and meets the few skills rows without one, null-safe and with fan-out."""
     o = TD.table(spark, sf_dir, "orders", spread_out=False).select("o_orderkey")
     li = TD.table(spark, sf_dir, "lineitem", spread_out=False).select("l_orderkey", F.col("l_linenumber").alias("seq"))
-    some = F.broadcast(li.where("l_orderkey % 3 = 0").agg(F.min("l_orderkey").alias("some")))           # one row
-    li = li.join(some, (F.col("l_orderkey") % 3 != 0) | (F.col("l_orderkey") == F.col("some")))
+    some = li.where("l_orderkey % 3 = 0").agg(F.min("l_orderkey")).first()[0]
+    li = li.where((F.col("l_orderkey") % 3 != 0) | (F.col("l_orderkey") == F.lit(some)))
     link = lambda c: F.when(F.col(c) % 3 != 0, F.col(c))
     return spread_join(o.withColumn("link", link("o_orderkey")), li.select(link("l_orderkey").alias("s_link"), "seq"),
                        "link", "s_link").select("o_orderkey", "link", "seq")
