@@ -3,9 +3,9 @@
 Base rules find e-mail addresses, IP addresses, cards and phone numbers. Wider
 generators propose further, overlapping spans (other separators, written-out
 signs, national forms). Boosted trees score proposals by format and context;
-they learn from the proposals whose form the base rules decide, and for each
-kind the threshold is the lowest that reached PRECISION on the rows not learnt
-from. A proposal is added when its score passes and it overlaps no base span and
+they learn from a half, by hash, of all proposals whose form the base rules decide,
+and for each kind the threshold is the lowest that reached PRECISION on all of the
+other half. A proposal is added when its score passes and it overlaps no base span and
 no accepted proposal that starts before it.
 
 Spans are found in place with native regular expressions: ``split`` gives the
@@ -13,7 +13,7 @@ pieces between matches, whose running length in code points places each match.
 Only matches are shuffled, under the text's SHA-256, so copies count once.
 
 Defined results: null counts as empty; texts without spans give zeros and empty
-lists; a kind without both outcomes on both halves of the sample gets no
+lists; proposals without both outcomes on both halves get no
 additions; repeated rows are each returned; other columns are not read.
 """
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import attach_left, materialize, read, text_key, text_of
 
-SAMPLE_ROWS = 20_000
 PRECISION = 0.95
 LEAST_ROWS = 20
+CUTS = (50, 99)                # hundredths tried as thresholds
 CONTEXT = 24                   # characters looked at before a span
 
 # The kinds in their order, and their patterns.
@@ -118,25 +118,34 @@ def _base_form(match: Column) -> Column:
 
 
 def scored(proposals: DataFrame, names: list[str]) -> DataFrame | None:
-    """``proposals`` (with features and ``label``: 1 or 0 where known) with ``passes``; None if nothing can be learnt."""
-    total = proposals.filter("label IS NOT NULL").count()
-    place = F.pmod(F.xxhash64("key", "kind", "start"), F.lit(1_000_000)) / 1_000_000
-    sample = proposals.filter("label IS NOT NULL").filter(place < (SAMPLE_ROWS / total if total else 0))
-    sample = materialize(sample.withColumn("part", F.pmod(F.crc32(F.concat_ws(":", F.hex("key"), "kind", "start").cast("binary")),
-                                                          F.lit(2))), "span-sample")
-    seen = {(r["part"], r["label"]) for r in sample.select("part", "label").distinct().collect()}
+    """``proposals`` (with features and ``label``: 1 or 0 where known) with ``passes``; None if nothing can be learnt.
+
+    Every labelled proposal counts: half of them teach the trees, the other half sets the thresholds. Equal proposals
+    (features, kind, label) of a half are one row with their number as weight, which gives the same trees and shares."""
+    half = F.pmod(F.crc32(F.concat_ws(":", F.hex("key"), "kind", "start").cast("binary")), F.lit(2))
+    known = proposals.filter("label IS NOT NULL").withColumn("part", half)
+    known = materialize(known.groupBy("part", "label", "kind", *names).agg(F.count("*").cast("double").alias("weight")), "known-spans")
+    seen = {(r["part"], r["label"]) for r in known.select("part", "label").distinct().collect()}
     if len(seen) < 4:
         return None
     pack = VectorAssembler(inputCols=names, outputCol="x")
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=10, maxDepth=3, stepSize=0.3, seed=7, cacheNodeIds=False)
-    learnt = pack.transform(sample.filter("part = 0").withColumn("label", F.col("label").cast("double"))).select("x", "label")
-    model = trees.fit(learnt.repartition(1))               # SAMPLE_ROWS at most
+    trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7,
+                          cacheNodeIds=False)
+    learnt = pack.transform(known.filter("part = 0").withColumn("label", F.col("label").cast("double"))).select("x", "label", "weight")
+    model = trees.fit(learnt)
     probability = vector_to_array("probability")[1]
     score = lambda rows: model.transform(pack.transform(rows)).withColumn("p", probability)
-    tried = score(sample.filter("part = 1")).select("kind", "p", "label", F.explode(F.sequence(F.lit(50), F.lit(99))).alias("cut"))
-    tried = tried.filter("p >= cut / 100").groupBy("kind", "cut").agg(F.avg("label").alias("right"), F.count("*").alias("n"))
-    cuts = {r["kind"]: r["cut"] / 100 for r in tried.filter((F.col("right") >= PRECISION) & (F.col("n") >= LEAST_ROWS))
-            .groupBy("kind").agg(F.min("cut").alias("cut")).collect()}
+    # the highest cut that a row reaches, summed up: what each cut lets pass is a running sum over CUTS rows of a kind
+    reached = F.array_max(F.filter(F.sequence(F.lit(CUTS[0]), F.lit(CUTS[1])), lambda c: F.col("p") >= c / 100))
+    tried = score(known.filter("part = 1")).withColumn("cut", reached).filter("cut IS NOT NULL").groupBy("kind", "cut").agg(
+        F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("n")).collect()
+    cuts = {}
+    for kind in KINDS:
+        for cut in range(CUTS[1], CUTS[0] - 1, -1):
+            above = [r for r in tried if r["kind"] == kind and r["cut"] >= cut]
+            n = sum(r["n"] for r in above)
+            if n >= LEAST_ROWS and sum(r["right"] for r in above) / n >= PRECISION:
+                cuts[kind] = cut / 100
     least = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), cuts.items(), F.when(F.lit(False), 2.0)).otherwise(2.0)
     return score(proposals).withColumn("passes", F.col("p") >= least)
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from talentlake.llm.personal_data import KINDS, personal_data, redact
+from talentlake.llm.personal_data import KINDS, personal_data, redact, scored
 
 SCHEMA = "doc_id bigint, text string, key string, kind string"
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -85,3 +85,14 @@ def test_redaction_keeps_the_rest(spark):
     assert redact(df.limit(0)).count() == 0
     clash = redact(df.withColumnRenamed("kind", "found"))
     assert clash.columns == ["doc_id", "text", "key", "found"] and clash.filter("found = 'x'").count() == 1
+
+
+def test_thresholds_come_from_every_known_proposal(spark):
+    """40,000 known proposals: a kind whose right ones are 20 in either half, hence a share too small for a sample, is learnt."""
+    rows = spark.range(40_400).selectExpr(
+        "unhex(sha2(cast(id as string), 256)) AS key", "'card' AS kind", "id AS start", "id + 1 AS end",
+        "cast(CASE WHEN id < 60 THEN 1 WHEN id < 40000 THEN 0 END AS int) AS label",
+        "cast(id < 60 OR id >= 40000 AS double) AS luhn", "cast(id % 7 AS double) AS length")
+    got = scored(rows, ["luhn", "length"]).filter("passes")
+    assert got.filter("luhn = 0").count() == 0
+    assert got.filter("label IS NULL").count() == 400 and got.count() == 460
