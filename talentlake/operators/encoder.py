@@ -31,6 +31,7 @@ SEED = 20
 FAN_IN = 64                    # partial sums that one task adds up
 BLOCKS = 64                    # the model moves in so many pieces
 CELLS = 1 << 21                # numbers of a product held together
+DENSE = 0.005                  # a bucket is multiplied densely if more than this share of the rows hold it
 
 
 def _weighted(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,21 +51,55 @@ def _grouped_sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _times(column: pa.Array, idf: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, buckets, weights, the rows' products with ``v``), some rows at a time."""
+def _times(column: pa.Array, idf: np.ndarray, v: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows' products with ``v``, some rows at a time; equal rows have equal ones, wherever they stand."""
     rows, buckets, weights = _weighted(column, idf)
     ends = np.searchsorted(rows, np.arange(len(column) + 1))
     step = max(1, CELLS // v.shape[1])
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + step, "right")) - 1)
-        part = slice(ends[a], ends[b])
         y = np.zeros((b - a, v.shape[1]))
         for s in range(ends[a], ends[b], step):             # a single row may be longer than a step
             some = slice(s, min(s + step, ends[b]))
             y += _grouped_sums(rows[some] - a, weights[some, None] * v[buckets[some]], b - a)
-        yield rows[part] - a, buckets[part], weights[part], y
+        yield y
+        a = b
+
+
+def _add_product(column: pa.Array, idf: np.ndarray, v: np.ndarray, total: np.ndarray) -> None:
+    """Adds A' (A ``v``) of the column's rows A to ``total``: buckets that many of the rows hold as a dense matrix, the
+    others one by one."""
+    rows, buckets, weights = _weighted(column, idf)
+    ends = np.searchsorted(rows, np.arange(len(column) + 1))
+    head = np.flatnonzero(np.bincount(buckets, minlength=len(idf)) > DENSE * len(column))
+    place = np.full(len(idf), -1)
+    place[head] = np.arange(len(head))
+    right = v[head]
+    head_total = np.zeros_like(right)
+    sortable = np.uint16 if len(idf) <= 1 << 16 else np.int64             # the shorter kind is sorted by its digits
+    step = max(1, CELLS // v.shape[1])
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + step, "right")) - 1)
+        part = slice(ends[a], ends[b])
+        row, bucket, weight, at = rows[part] - a, buckets[part], weights[part], place[buckets[part]]
+        dense = at >= 0
+        left = np.zeros((b - a, len(head)))
+        left[row[dense], at[dense]] = weight[dense]
+        y = left @ right
+        row, bucket, weight = row[~dense], bucket[~dense], weight[~dense]
+        for s in range(0, len(row), step):                                 # a single row may be longer than a step
+            some = slice(s, s + step)
+            y += _grouped_sums(row[some], weight[some, None] * v[bucket[some]], b - a)
+        head_total += left.T @ y
+        order = np.argsort(bucket.astype(sortable), kind="stable")
+        for s in range(0, len(order), step):
+            some = order[s:s + step]
+            first = np.flatnonzero(np.append(True, bucket[some][1:] != bucket[some][:-1]))
+            total[bucket[some][first]] += np.add.reduceat(weight[some, None] * y[row[some]], first, axis=0)
         a = b
+    total[head] += head_total
 
 
 def _tree_sum(coded: DataFrame, partial: Callable[[Iterator[pa.Array]], np.ndarray], dims: int) -> np.ndarray:
@@ -145,13 +180,7 @@ class LearnedEncoder:
                 idf, v = sent.value
                 total = np.zeros_like(v)
                 for c in columns:
-                    for rows, buckets, weights, y in _times(c, idf, v):
-                        order = np.argsort(buckets, kind="stable")
-                        for s in range(0, len(order), max(1, CELLS // v.shape[1])):
-                            some = order[s:s + max(1, CELLS // v.shape[1])]
-                            at = buckets[some]
-                            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                            total[at[first]] += np.add.reduceat(weights[some, None] * y[rows[some]], first, axis=0)
+                    _add_product(c, idf, v, total)
                 return total
 
             z = _tree_sum(coded, product, dims)
@@ -178,7 +207,7 @@ class LearnedEncoder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, v = sent.value
             for batch in batches:
-                y = np.concatenate([np.zeros((0, v.shape[1])), *(y for *_, y in _times(batch.column(1), idf, v))])
+                y = np.concatenate([np.zeros((0, v.shape[1])), *_times(batch.column(1), idf, v)])
                 ends = pa.array(np.arange(len(y) + 1) * v.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=[key_col, out])
 

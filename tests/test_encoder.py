@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+import talentlake.operators.encoder as encoder
 from talentlake.operators.encoder import LearnedEncoder
 from talentlake.operators.similarity import encode, top_k_similar
 
@@ -60,3 +62,18 @@ def test_texts_without_common_words_meet_by_topic(spark):
         assert any(f"{topic}{3 if topic == 'data' else 7} " not in texts[i] + " " for i in ids)
     empty = LearnedEncoder.fit(df.limit(0), "text", dims=64, rank=2)
     assert not empty.vectors.any() and empty.vectors_of(df.limit(2), "id", "text").count() == 2
+
+
+def test_a_round_multiplies_common_buckets_densely(monkeypatch):
+    """A' (A v) of rows with common and rare buckets, empty rows, and one longer than a step, by dense matrices."""
+    monkeypatch.setattr(encoder, "CELLS", 300)
+    rng = np.random.default_rng(3)
+    texts = [(rng.zipf(1.3, rng.integers(0, 25)) % 50).tolist() for _ in range(120)] + [[], list(range(50)) * 2, [49]]
+    idf, v = rng.random(50) + 1, rng.standard_normal((50, 6))
+    a = np.array([np.bincount(np.array(x, int), minlength=50) * idf for x in texts])
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    for dense in (0.0, 0.2, 1.0):
+        monkeypatch.setattr(encoder, "DENSE", dense)
+        total = np.ones((50, 6))
+        encoder._add_product(pa.array(texts, pa.list_(pa.int32())), idf, v, total)
+        assert np.allclose(total - 1, a.T @ (a @ v), atol=1e-12)
