@@ -65,6 +65,28 @@ def test_common_lists_are_set_aside(spark, tmpdir_path):
     assert read and max(r["size"] for r in read) <= 2
 
 
+def test_only_seeds_are_looked_up_and_blocks_give_their_best(spark, tmpdir_path, monkeypatch):
+    """Rows that tie by thousands are ranked where their block is: neither scored pair by pair nor shuffled."""
+    monkeypatch.setattr(si, "BLOCK_ROWS", 700)
+    corpus = [(i, "the of and data") for i in range(3000)] + [(5000, "the of data"), (5001, "and so on")]
+    index = SearchIndex(spark, tmpdir_path).save(frame(spark, corpus).coalesce(1), "id", "text")
+    pairs, scored = [], index._scored
+    index._scored = lambda p, q: pairs.append(p.count()) or scored(p, q)
+    queries = [(1, "the of and data here"), (2, "data and more")]
+    q = spark.createDataFrame(queries, "query_id bigint, text string")
+    assert found(index.search(q, 7, "query_id", "text")) == brute(corpus, queries, 7)
+    assert sum(pairs) <= len(queries) * si.SEEDS
+
+
+def test_repeated_keys_and_queries_without_one(spark, tmpdir_path):
+    corpus = frame(spark, [(1, "data engineer"), (1, "data engineer"), (2, "data cook")])
+    index = SearchIndex(spark, tmpdir_path).save(corpus, "id", "text")
+    q = spark.createDataFrame([("a", "data engineer"), ("a", "data engineer"), (None, "data")], "query_id string, text string")
+    got = index.search(q, 5, "query_id", "text").collect()
+    assert sorted((r.key, r.rank) for r in got if r.query_id) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 5)]
+    assert {r.score for r in got if r.query_id is None} == {0.0}
+
+
 def test_a_request_opens_only_its_slots(spark, tmpdir_path):
     index = SearchIndex(spark, tmpdir_path).save(frame(spark, list(enumerate(made(200, 3)))), "id", "text")
     bucket = si._exploded(si._vectors(spark.createDataFrame([(1, "spark")], "k int, t string"), "k", "t", index.dims)).select("bucket")
